@@ -49,8 +49,9 @@ class PerfectHash:
         self.keys: list[bytes | None] = [None] * n
         self.ranks = [0] * n
         self.move = [0] * self.r
-        for b in sorted(range(self.r), key=lambda x: -len(buckets[x])):
-            if not buckets[b]:
+        order = sorted(range(self.r), key=lambda x: -len(buckets[x]))
+        for b in order:
+            if len(buckets[b]) < 2:
                 break
             d = 0
             while True:
@@ -62,11 +63,18 @@ class PerfectHash:
             for f, g, k in buckets[b]:
                 i = (f + d * g + (d * d >> 3)) % n
                 self.keys[i], self.ranks[i] = k, ranks[k]
+        # a bucket of one key names its slot directly, as a negative displacement
+        free = iter([i for i in range(n) if self.keys[i] is None])
+        for b in order:
+            if len(buckets[b]) == 1:
+                i = next(free)
+                self.move[b] = -1 - i
+                self.keys[i], self.ranks[i] = buckets[b][0][2], ranks[buckets[b][0][2]]
 
     def get(self, key: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(key)
         d = self.move[h % self.r]
-        i = ((h >> 20) + d * (1 + (h >> 41)) + (d * d >> 3)) % self.n
+        i = -1 - d if d < 0 else ((h >> 20) + d * (1 + (h >> 41)) + (d * d >> 3)) % self.n
         return self.ranks[i] if self.keys[i] == key else -1
 
 
