@@ -44,6 +44,7 @@ REFUSALS = [
         r"\b(no|ningún|ninguno|ninguna|nada)\b.{0,50}\b(información|responder|contestar|respuesta|al respecto|pregunta)\b",
         r"\blo siento\b",
         r"\b(bilgi|yanıt|cevap|konu|soru)\w*\b.{0,50}\b(yok|yoktur|bulunm\w+|yer alm\w+|verilem\w+|verem\w+|yanıtlayam\w+|içerm\w+)\b",
+        r"\b(bilgi|yanıt|cevap)\w*\b.{0,30}\bsahip değil\w*",
         r"\büzgünüm\b|\bmaalesef\b.{0,60}\w*m[ıiuü]y\w*\b",
     )
 ]
