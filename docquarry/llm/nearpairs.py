@@ -1,14 +1,15 @@
 """Groups of passages that differ by small edits.
 
 A signature holds one minimum hash of the passage's word runs per coordinate.
-Passages are posted under each (coordinate, value) pair; two passages whose
-run sets have the wanted similarity agree in at least ``least`` coordinates
-but for a chance of about 1 in 1000. Prefix merging: if postings are ranked by
-how common they are, two passages that agree in ``least`` of ``coordinates``
-postings must agree within the ``coordinates - least + 1`` rarest of each, so
-only those are joined. Skip merging: a posting nobody else has is skipped.
-The pairs met are counted over their whole signatures, and those above the
-match threshold are confirmed on the exact sets of word runs.
+Two passages whose run sets have the wanted similarity agree in at least
+``least`` coordinates but for a chance of about 1 in 1000. The coordinates fall
+into ``least - 1`` groups, so passages that agree in ``least`` of them agree
+twice within some group: each passage is posted under the pairs of
+coordinates of one group with their two values, whose lists stay short where a
+single common run would fill a list with passages of nothing else in common.
+A posting that nobody else has meets nobody and is skipped by the join. The
+pairs met are counted over their whole signatures, and those above the match
+threshold are confirmed on the exact sets of word runs.
 """
 
 from __future__ import annotations
@@ -51,9 +52,11 @@ def signature(run_hashes: np.ndarray, mult: np.ndarray) -> np.ndarray:
     return out
 
 
-def word_key(text: str | None) -> tuple[str, int]:
-    w = words(text or "")
-    return xxhash.xxh3_128_hexdigest(" ".join(w).encode()), len(w)
+def group_pairs(coordinates: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of coordinates within each of ``least - 1`` groups."""
+    groups = np.array_split(np.arange(coordinates), max(1, least - 1))
+    pairs = [(i, j) for g in groups for n, i in enumerate(g) for j in g[n + 1 :]]
+    return np.array([i for i, _ in pairs]), np.array([j for _, j in pairs])
 
 
 def near_pairs(
@@ -65,7 +68,6 @@ def near_pairs(
     similarity: float = 0.5,
     coordinates: int = 40,
     least: int = 11,
-    counters_log2: int = 21,
     expand: int = 64,
 ) -> DataFrame:
     """(chunk_id_a, chunk_id_b), a < b: passages with the given similarity of their sets of word runs.
@@ -76,12 +78,8 @@ def near_pairs(
     alone stands for the class in pairs with other classes, so output grows
     with the rows and no link is lost. Null texts and texts under
     ``run_words`` words give no pair. Texts are read whole. Other columns are
-    not read; an empty table gives no rows. ``counters_log2`` sets the size of
-    the table of posting counts, the only thing broadcast; a smaller table
-    costs work, never pairs.
+    not read; an empty table gives no rows. Nothing is broadcast by hand.
     """
-    spark = passages.sparkSession
-    prefix = coordinates - least + 1
     rows = passages.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("text is not null and id is not null")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,41 +100,17 @@ def near_pairs(
     multi = materialize(signed.select("id", "key").join(sizes.where("copies > 1"), "key").select("id", "rep", "copies"), "copies")
     reps = signed.join(multi.where("id <> rep").select("id"), "id", "left_anti").select("id", "sig")
 
-    mask = (1 << counters_log2) - 1
-
-    def slots_of(sig: bytes) -> np.ndarray:
-        v = np.frombuffer(sig, np.uint32).astype(np.uint64)
-        x = (v + (np.arange(coordinates, dtype=np.uint64) << np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        return x ^ (x >> np.uint64(32))
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(mask + 1, np.int32)
-        for batch in batches:
-            for sig in batch.column(0).to_pylist():
-                total[(slots_of(sig) & np.uint64(mask)).astype(np.int64)] += 1
-        at = np.flatnonzero(total)
-        for lo in range(0, len(at), 100_000):
-            part = at[lo : lo + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(total[part], pa.int32())], ["slot", "n"])
-
-    counts = reps.select("sig").mapInArrow(tally, "slot int, n int").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1")
-    table = np.zeros(mask + 1, np.int32)
-    found = counts.toArrow()  # at most 2 ** counters_log2 rows
-    table[found.column("slot").to_numpy()] = np.minimum(found.column("n").to_numpy(), 2**31 - 1)
-    shared = spark.sparkContext.broadcast(table)
+    first, second = group_pairs(coordinates, least)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = shared.value
         for batch in batches:
-            ids, posts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for i, sig in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                s = slots_of(sig)
-                n = common[(s & np.uint64(mask)).astype(np.int64)]
-                order = np.lexsort((s, n))[:prefix]
-                s = s[order[n[order] > 1]]
-                ids.append(np.full(len(s), i, np.int64))
-                posts.append(s.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(posts))], ["id", "post"])
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                v = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(-1, coordinates).astype(np.uint64)
+                x = (v[:, first] * np.uint64(0x9E3779B97F4A7C15)) ^ (v[:, second] * np.uint64(0xD6E8FEB86659FD93) + np.arange(len(first), dtype=np.uint64)[None, :])
+                x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+                ids = np.repeat(part.column(0).to_numpy(), len(first))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array((x ^ (x >> np.uint64(29))).ravel().view(np.int64))], ["id", "post"])
 
     posted = reps.mapInArrow(post, "id bigint, post bigint")
     a, b = posted.select("post", F.col("id").alias("a")), posted.select("post", F.col("id").alias("b"))
