@@ -2,14 +2,15 @@
 
 A signature holds one minimum hash of the passage's word runs per coordinate.
 Two passages whose run sets have the wanted similarity agree in at least
-``least`` coordinates but for a chance of about 1 in 1000. The coordinates fall
-into ``least - 1`` groups, so passages that agree in ``least`` of them agree
-twice within some group: each passage is posted under the pairs of
-coordinates of one group with their two values, whose lists stay short where a
-single common run would fill a list with passages of nothing else in common.
-A posting that nobody else has meets nobody and is skipped by the join. The
-pairs met are counted over their whole signatures, and those above the match
-threshold are confirmed on the exact sets of word runs.
+``least`` coordinates but for a chance of about 1 in 1000. Each passage is
+posted under ``posts`` pairs of coordinates with their two values; of single
+coordinates a common run would fill long lists with passages of nothing else
+in common. At similarity 0.5 all postings miss with a chance of about 0.75 to
+the power of ``posts``. A posting carries the low three bits of every
+coordinate, so pairs that cannot reach ``least`` are skipped where they meet,
+before anything is shuffled. The rest are counted over their whole
+signatures, and those above the match threshold are confirmed on the exact
+sets of word runs.
 """
 
 from __future__ import annotations
@@ -52,11 +53,10 @@ def signature(run_hashes: np.ndarray, mult: np.ndarray) -> np.ndarray:
     return out
 
 
-def group_pairs(coordinates: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of coordinates within each of ``least - 1`` groups."""
-    groups = np.array_split(np.arange(coordinates), max(1, least - 1))
-    pairs = [(i, j) for g in groups for n, i in enumerate(g) for j in g[n + 1 :]]
-    return np.array([i for i, _ in pairs]), np.array([j for _, j in pairs])
+def coordinate_pairs(coordinates: int, posts: int) -> tuple[np.ndarray, np.ndarray]:
+    """``posts`` different pairs of coordinates, every coordinate used about equally often."""
+    pairs = [(i, (i + step) % coordinates) for step in range(coordinates // 2, 0, -1) for i in range(coordinates if step < coordinates // 2 else coordinates // 2)]
+    return np.array([i for i, _ in pairs[:posts]]), np.array([j for _, j in pairs[:posts]])
 
 
 def near_pairs(
@@ -66,8 +66,9 @@ def near_pairs(
     text_col: str = "text",
     run_words: int = 3,
     similarity: float = 0.5,
-    coordinates: int = 40,
+    coordinates: int = 42,
     least: int = 11,
+    posts: int = 28,
     expand: int = 64,
 ) -> DataFrame:
     """(chunk_id_a, chunk_id_b), a < b: passages with the given similarity of their sets of word runs.
@@ -78,7 +79,7 @@ def near_pairs(
     alone stands for the class in pairs with other classes, so output grows
     with the rows and no link is lost. Null texts and texts under
     ``run_words`` words give no pair. Texts are read whole. Other columns are
-    not read; an empty table gives no rows. Nothing is broadcast by hand.
+    not read; an empty table gives no rows. ``coordinates`` is even and at most 42. Nothing is broadcast by hand.
     """
     rows = passages.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("text is not null and id is not null")
 
@@ -100,7 +101,9 @@ def near_pairs(
     multi = materialize(signed.select("id", "key").join(sizes.where("copies > 1"), "key").select("id", "rep", "copies"), "copies")
     reps = signed.join(multi.where("id <> rep").select("id"), "id", "left_anti").select("id", "sig")
 
-    first, second = group_pairs(coordinates, least)
+    first, second = coordinate_pairs(coordinates, posts)
+    half = coordinates // 2
+    places = np.uint64(3) * np.arange(half, dtype=np.uint64)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,12 +112,22 @@ def near_pairs(
                 v = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(-1, coordinates).astype(np.uint64)
                 x = (v[:, first] * np.uint64(0x9E3779B97F4A7C15)) ^ (v[:, second] * np.uint64(0xD6E8FEB86659FD93) + np.arange(len(first), dtype=np.uint64)[None, :])
                 x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-                ids = np.repeat(part.column(0).to_numpy(), len(first))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array((x ^ (x >> np.uint64(29))).ravel().view(np.int64))], ["id", "post"])
-
-    posted = reps.mapInArrow(post, "id bigint, post bigint")
-    a, b = posted.select("post", F.col("id").alias("a")), posted.select("post", F.col("id").alias("b"))
-    met = a.join(b, "post").where("a < b").select("a", "b").distinct()
+                low = (v & np.uint64(7))
+                s0, s1 = ((low[:, at : at + half] << places).sum(axis=1, dtype=np.uint64).view(np.int64) for at in (0, half))
+                n = len(first)
+                cols = (np.repeat(part.column(0).to_numpy(), n), (x ^ (x >> np.uint64(29))).ravel().view(np.int64), np.repeat(s0, n), np.repeat(s1, n))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["id", "post", "s0", "s1"])
+
+    posted = reps.mapInArrow(post, "id bigint, post bigint, s0 bigint, s1 bigint")
+
+    def unequal(x: str, y: str):
+        z = F.col(x).bitwiseXOR(F.col(y))
+        return F.bit_count(z.bitwiseOR(F.shiftright(z, 1)).bitwiseOR(F.shiftright(z, 2)).bitwiseAND(F.lit(sum(1 << 3 * k for k in range(half)))))
+
+    a = posted.select("post", F.col("id").alias("a"), F.col("s0").alias("a0"), F.col("s1").alias("a1"))
+    b = posted.select("post", F.col("id").alias("b"), F.col("s0").alias("b0"), F.col("s1").alias("b1"))
+    near = (F.col("a") < F.col("b")) & (2 * half - unequal("a0", "b0") - unequal("a1", "b1") >= least)
+    met = a.join(b, "post").where(near).select("a", "b").distinct()
 
     @pandas_udf("boolean")
     def agree(x, y):
