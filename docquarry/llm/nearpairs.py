@@ -63,6 +63,23 @@ def coordinate_pairs(coordinates: int, posts: int) -> tuple[np.ndarray, np.ndarr
     return np.array([i for i, _ in pairs[:posts]]), np.array([j for _, j in pairs[:posts]])
 
 
+def among(rows: DataFrame, ids: DataFrame, bits: int = 1 << 26) -> DataFrame:
+    """``rows`` whose ``id`` may be one of ``ids``: all that are, and few others.
+
+    Hashed ids set bits of one bitmap, kept in blocks of 4 KB, so what is
+    broadcast has at most ``bits`` / 8 bytes (8 MB) at any number of ids. An
+    exact join follows wherever this is used; it only spares it most rows.
+    """
+    place = F.pmod(F.xxhash64("id"), F.lit(bits)) + 1
+    marked = ids.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("block"))
+    blocks = materialize(marked.agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bitmap")), "bitmap")
+    at = F.bitmap_bit_position("p").cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("bitmap"), F.call_function("shiftright", at, F.lit(3)) + 1, F.lit(1))), 16, 10).cast("int")
+    one_is_set = byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), at.bitwiseAND(7))) != 0
+    tried = rows.withColumn("p", place).withColumn("block", F.bitmap_bucket_number("p"))
+    return tried.join(F.broadcast(blocks), "block").where(one_is_set).select(*rows.columns)
+
+
 def near_pairs(
     passages: DataFrame,
     *,
@@ -84,7 +101,8 @@ def near_pairs(
     alone stands for the class in pairs with other classes, so output grows
     with the rows and no link is lost. Null texts and texts under
     ``run_words`` words give no pair. Texts are read whole. Other columns are
-    not read; an empty table gives no rows. ``coordinates`` is even and at most 42. Nothing is broadcast by hand.
+    not read; an empty table gives no rows. ``coordinates`` is even and at most
+    42. Only bitmaps of a fixed size are broadcast.
     """
     rows = passages.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("text is not null and id is not null")
 
@@ -134,7 +152,7 @@ def near_pairs(
     a = posted.select("post", F.col("id").alias("a"), F.col("s0").alias("a0"), F.col("s1").alias("a1"))
     b = posted.select("post", F.col("id").alias("b"), F.col("s0").alias("b0"), F.col("s1").alias("b1"))
     near = (F.col("a") < F.col("b")) & (2 * half - unequal("a0", "b0") - unequal("a1", "b1") >= codes)
-    met = a.join(b, "post").where(near).select("a", "b").distinct()
+    met = materialize(a.join(b, "post").where(near).select("a", "b").distinct(), "met")
 
     @pandas_udf("boolean")
     def agree(x, y):
@@ -144,7 +162,9 @@ def near_pairs(
 
         return pd.Series((u == v).sum(axis=1) >= least)
 
-    sig_a, sig_b = signed.select(F.col("id").alias("a"), F.col("low").alias("sa")), signed.select(F.col("id").alias("b"), F.col("low").alias("sb"))
+    lows = signed.select("id", "low")
+    sig_a = among(lows, met.select(F.col("a").alias("id"))).select(F.col("id").alias("a"), F.col("low").alias("sa"))
+    sig_b = among(lows, met.select(F.col("b").alias("id"))).select(F.col("id").alias("b"), F.col("low").alias("sb"))
     matched = materialize(met.join(sig_a, "a").join(sig_b, "b").where(agree("sa", "sb")).select("a", "b"), "matched")
 
     @pandas_udf("boolean")
@@ -159,7 +179,7 @@ def near_pairs(
         return pd.Series(keep, dtype=bool)
 
     needed = matched.select(F.col("a").alias("id")).union(matched.select("b")).distinct()
-    texts = materialize(rows.join(needed, "id", "left_semi"), "texts")
+    texts = materialize(among(rows, needed).join(needed, "id", "left_semi"), "texts")
     text_a, text_b = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
     linked = matched.join(text_a, "a").join(text_b, "b").where(similar("ta", "tb")).select("a", "b")
 
