@@ -1,20 +1,17 @@
 """Groups of passages that differ by small edits.
 
 A signature holds one minimum hash of the passage's word runs per coordinate.
-Two passages whose run sets have the wanted similarity agree in at least
-``least`` coordinates but for a chance of about 1 in 1000. Each passage is
-posted under ``posts`` pairs of coordinates with their two values; of single
-coordinates a common run would fill long lists with passages of nothing else
-in common. At similarity 0.5 all postings miss with a chance of about 0.75 to
-the power of ``posts``. A posting carries the low three bits of every
-coordinate, and pairs with fewer than ``codes`` equal ones are skipped where
-they meet, before anything is shuffled (at similarity 0.5 about 23.6 of 42 are
-equal, with deviation 3.2, so about 1 in 300 of such pairs is lost, and fewer
-the more similar they are). The rest are counted over the low byte of every
-coordinate, which two different values share once in 256 cases and equal ones
-always, so the count misses no agreement and travels in a quarter of the
-signature's bytes. Pairs above the match threshold are confirmed on the exact
-sets of word runs.
+Passages are posted under each (coordinate, value) pair; two passages whose
+run sets have the wanted similarity agree in at least ``least`` coordinates
+but for a chance of about 1 in 1000. Prefix merging: if postings are ranked by
+how common they are, two passages that agree in ``least`` of ``coordinates``
+postings must agree within the ``coordinates - least + 1`` rarest of each, so
+only those are posted. Skip merging: a posting nobody else has is skipped.
+Postings of a long list are salted into tiles, so that every two of its
+members still meet in one. A posting carries the low byte of every coordinate,
+which two different values share once in 256 cases and equal ones always, so
+agreements are counted where postings meet, and the count misses none. Pairs
+above the match threshold are confirmed on the exact sets of word runs.
 """
 
 from __future__ import annotations
@@ -57,10 +54,24 @@ def signature(run_hashes: np.ndarray, mult: np.ndarray) -> np.ndarray:
     return out
 
 
-def coordinate_pairs(coordinates: int, posts: int) -> tuple[np.ndarray, np.ndarray]:
-    """``posts`` different pairs of coordinates, every coordinate used about equally often."""
-    pairs = [(i, (i + step) % coordinates) for step in range(coordinates // 2, 0, -1) for i in range(coordinates if step < coordinates // 2 else coordinates // 2)]
-    return np.array([i for i, _ in pairs[:posts]]), np.array([j for _, j in pairs[:posts]])
+def met_pairs(post: np.ndarray, ids: np.ndarray, low: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs a < b under one posting with at least ``least`` equal bytes; ``post`` is sorted, ``low`` has rows of 64-bit words."""
+    high, rest = np.uint64(0x8080808080808080), np.uint64(0x7F7F7F7F7F7F7F7F)
+    found = [np.zeros((0, 2), np.int64)]
+    at, step = np.arange(len(post) - 1), 1
+    while len(at):
+        at = at[post[at] == post[at + step]]
+        unequal = np.zeros(len(at), np.uint8)
+        for w in low.T:
+            x = w[at] ^ w[at + step]
+            unequal += np.bitwise_count((((x & rest) + rest) | x) & high)
+        hit = at[unequal <= 8 * low.shape[1] - least]
+        found.append(np.stack([ids[hit], ids[hit + step]], axis=1))
+        step += 1
+        at = at[at + step < len(post)]
+    pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+    pairs = pairs[pairs[:, 0] < pairs[:, 1]]
+    return pairs[:, 0], pairs[:, 1]
 
 
 def among(rows: DataFrame, ids: DataFrame, bits: int = 1 << 26) -> DataFrame:
@@ -89,8 +100,8 @@ def near_pairs(
     similarity: float = 0.5,
     coordinates: int = 42,
     least: int = 11,
-    posts: int = 28,
-    codes: int = 15,
+    counters_log2: int = 21,
+    list_rows: int = 2000,
     expand: int = 64,
 ) -> DataFrame:
     """(chunk_id_a, chunk_id_b), a < b: passages with the given similarity of their sets of word runs.
@@ -100,72 +111,102 @@ def near_pairs(
     pairs; in larger ones every copy is paired with the smallest id, which
     alone stands for the class in pairs with other classes, so output grows
     with the rows and no link is lost. Null texts and texts under
-    ``run_words`` words give no pair. Texts are read whole. Other columns are
-    not read; an empty table gives no rows. ``coordinates`` is even and at most
-    42. Only bitmaps of a fixed size are broadcast.
+    ``run_words`` words give no pair.
+    Texts are read whole. Other columns are not read; an empty table gives no
+    rows. ``counters_log2`` sets the size of the table of posting counts, and
+    ``list_rows`` the length from which lists are salted; both change the work,
+    never the pairs. Only this table and bitmaps of a fixed size are broadcast.
     """
+    prefix = coordinates - least + 1
+    padded = -(-coordinates // 8) * 8
     rows = passages.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("text is not null and id is not null")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mult = multipliers(coordinates)
         for batch in batches:
-            ids, keys, sigs, lows = [], [], [], []
+            ids, keys, sigs = [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 r = runs(text, run_words)
                 if len(r):
                     ids.append(i)
                     # the set of runs decides, so texts with one set are one class
                     keys.append(xxhash.xxh3_128_digest(r.tobytes()))
-                    sig = signature(r, mult)
-                    sigs.append(sig.tobytes())
-                    lows.append(sig.astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, pa.binary()) for c in (keys, sigs, lows))], ["id", "key", "sig", "low"])
+                    sigs.append(signature(r, mult).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, pa.binary()) for c in (keys, sigs))], ["id", "key", "sig"])
 
-    signed = materialize(rows.mapInArrow(sign, "id bigint, key binary, sig binary, low binary"), "signatures")
+    signed = materialize(rows.mapInArrow(sign, "id bigint, key binary, sig binary"), "signatures")
     sizes = signed.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     multi = materialize(signed.select("id", "key").join(sizes.where("copies > 1"), "key").select("id", "rep", "copies"), "copies")
     reps = signed.join(multi.where("id <> rep").select("id"), "id", "left_anti").select("id", "sig")
 
-    first, second = coordinate_pairs(coordinates, posts)
-    half = coordinates // 2
-    places = np.uint64(3) * np.arange(half, dtype=np.uint64)
+    mask = np.uint64((1 << counters_log2) - 1)
+
+    def slots_of(sigs: pa.Array) -> np.ndarray:
+        v = np.frombuffer(b"".join(sigs.to_pylist()), np.uint32).reshape(-1, coordinates).astype(np.uint64)
+        x = (v + (np.arange(coordinates, dtype=np.uint64) << np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return x ^ (x >> np.uint64(32))
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(int(mask) + 1, np.int64)
+        for batch in batches:
+            np.add.at(total, (slots_of(batch.column(0)) & mask).ravel().astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        for lo in range(0, len(at), 100_000):
+            part = at[lo : lo + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(total[part], pa.int64())], ["slot", "n"])
+
+    counts = reps.select("sig").mapInArrow(tally, "slot int, n bigint").groupBy("slot").agg(F.least(F.sum("n"), F.lit(2**31 - 1)).cast("int").alias("n")).where("n > 1")
+    table = np.zeros(int(mask) + 1, np.int32)
+    counted = counts.toArrow()  # at most 2 ** counters_log2 rows
+    table[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
+    usual = int(table.mean())  # postings that share a slot by chance
+    shared = passages.sparkSession.sparkContext.broadcast(table)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = shared.value
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
-                v = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(-1, coordinates).astype(np.uint64)
-                x = (v[:, first] * np.uint64(0x9E3779B97F4A7C15)) ^ (v[:, second] * np.uint64(0xD6E8FEB86659FD93) + np.arange(len(first), dtype=np.uint64)[None, :])
-                x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-                low = (v & np.uint64(7))
-                s0, s1 = ((low[:, at : at + half] << places).sum(axis=1, dtype=np.uint64).view(np.int64) for at in (0, half))
-                n = len(first)
-                cols = (np.repeat(part.column(0).to_numpy(), n), (x ^ (x >> np.uint64(29))).ravel().view(np.int64), np.repeat(s0, n), np.repeat(s1, n))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["id", "post", "s0", "s1"])
-
-    posted = reps.mapInArrow(post, "id bigint, post bigint, s0 bigint, s1 bigint")
-
-    def unequal(x: str, y: str):
-        z = F.col(x).bitwiseXOR(F.col(y))
-        return F.bit_count(z.bitwiseOR(F.shiftright(z, 1)).bitwiseOR(F.shiftright(z, 2)).bitwiseAND(F.lit(sum(1 << 3 * k for k in range(half)))))
-
-    a = posted.select("post", F.col("id").alias("a"), F.col("s0").alias("a0"), F.col("s1").alias("a1"))
-    b = posted.select("post", F.col("id").alias("b"), F.col("s0").alias("b0"), F.col("s1").alias("b1"))
-    near = (F.col("a") < F.col("b")) & (2 * half - unequal("a0", "b0") - unequal("a1", "b1") >= codes)
-    met = materialize(a.join(b, "post").where(near).select("a", "b").distinct(), "met")
-
-    @pandas_udf("boolean")
-    def agree(x, y):
-        u = np.frombuffer(b"".join(x), np.uint8).reshape(-1, coordinates)
-        v = np.frombuffer(b"".join(y), np.uint8).reshape(-1, coordinates)
-        import pandas as pd
-
-        return pd.Series((u == v).sum(axis=1) >= least)
-
-    lows = signed.select("id", "low")
-    sig_a = among(lows, met.select(F.col("a").alias("id"))).select(F.col("id").alias("a"), F.col("low").alias("sa"))
-    sig_b = among(lows, met.select(F.col("b").alias("id"))).select(F.col("id").alias("b"), F.col("low").alias("sb"))
-    matched = materialize(met.join(sig_a, "a").join(sig_b, "b").where(agree("sa", "sb")).select("a", "b"), "matched")
+                s = slots_of(part.column(1))
+                n = common[(s & mask).astype(np.int64)]
+                order = np.lexsort((s, n), axis=1)[:, :prefix]
+                s, n = np.take_along_axis(s, order, 1), np.take_along_axis(n, order, 1)
+                row, col = np.nonzero(n > 1)
+                s, n, ids = s[row, col], n[row, col].astype(np.int64), part.column(0).to_numpy()[row]
+                # a list of k * list_rows postings is k groups; a posting goes to the tiles of its group with each
+                k = np.maximum(1, -(-(n - usual) // list_rows))
+                own = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % k
+                each = np.repeat(np.arange(len(k)), k)
+                other = np.arange(len(each)) - np.repeat(np.cumsum(k) - k, k)
+                tile = np.minimum(own[each], other) * k[each] + np.maximum(own[each], other)
+                key = s[each] ^ (tile.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
+                sig = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(-1, coordinates).astype(np.uint8)
+                low = pa.FixedSizeBinaryArray.from_buffers(pa.binary(coordinates), len(each), [None, pa.py_buffer(np.ascontiguousarray(sig[row[each]]))]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[each]), low], ["post", "id", "low"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs_of(kept: list) -> pa.RecordBatch:
+            posts, ids, low = (np.concatenate(c) for c in zip(*kept))
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in met_pairs(posts, ids, low.view(np.uint64), least + padded - coordinates)], ["a", "b"])
+
+        kept, held = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            low = np.zeros((batch.num_rows, padded), np.uint8)
+            low[:, :coordinates] = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, coordinates)
+            new = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), low)
+            if held >= 100_000 and (cut := int(np.searchsorted(new[0], new[0][-1]))):
+                # all lists but the last have ended
+                yield pairs_of([*kept, tuple(c[:cut] for c in new)])
+                kept, held, new = [], 0, tuple(c[cut:] for c in new)
+            kept.append(new)
+            held += len(new[0])
+        if kept:
+            yield pairs_of(kept)
+
+    posted = reps.mapInArrow(post, "post bigint, id bigint, low binary").repartition("post").sortWithinPartitions("post")
+    matched = materialize(posted.mapInArrow(meet, "a bigint, b bigint").distinct(), "matched")
 
     @pandas_udf("boolean")
     def similar(x, y):

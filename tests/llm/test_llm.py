@@ -77,3 +77,20 @@ def test_same_looking(spark):
     b = a.replace("é", "é").replace(" reset", " re​set").replace("value", "vаlue")
     df = spark.createDataFrame([(1, a), (2, b), (3, a.replace("é", "e")), (4, None), (5, ""), (6, a)], "doc_id bigint, text string")
     assert {tuple(r) for r in lookalike.same_looking(df).collect()} == {(1, 2), (2, 6)}
+
+
+def test_near_pairs_miss_no_pair_that_agrees_enough(spark):
+    # of 6,000 pairs with about half their runs in common, those that agree in the fewest coordinates
+    r, mult, rows = np.random.default_rng(3), nearpairs.multipliers(42), []
+    for g in range(6000):
+        shared = [f"g{g}x{i}" for i in range(42)]
+        two = [" ".join(shared + [f"o{x}" for x in r.integers(0, 10**9, 19)]) for _ in range(2)]
+        u, v = (nearpairs.runs(t, 3) for t in two)
+        if 11 <= (nearpairs.signature(u, mult) == nearpairs.signature(v, mult)).sum() <= 13 and 2 * len(np.intersect1d(u, v)) >= len(np.union1d(u, v)):
+            rows += [(2 * g + side, t) for side, t in enumerate(two)]
+    assert len(rows) >= 20
+    df = spark.createDataFrame(rows, "chunk_id bigint, text string")
+    want = {(i, i + 1) for i, _ in rows[::2]}
+    assert {tuple(x) for x in nearpairs.near_pairs(df).collect()} == want
+    # lists cut into tiles lose none either
+    assert {tuple(x) for x in nearpairs.near_pairs(df, list_rows=1, counters_log2=8).collect()} == want
