@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
+from pyspark.sql.window import Window
 
 from docquarry.llm.materialize import materialize
 from docquarry.llm.words import words
@@ -106,12 +107,12 @@ def near_pairs(
 ) -> DataFrame:
     """(chunk_id_a, chunk_id_b), a < b: passages with the given similarity of their sets of word runs.
 
-    Passages with the same words form a class, and classes are compared by
-    their smallest id. Classes of up to ``expand`` copies come out in all their
-    pairs; in larger ones every copy is paired with the smallest id, which
-    alone stands for the class in pairs with other classes, so output grows
-    with the rows and no link is lost. Null texts and texts under
-    ``run_words`` words give no pair.
+    Passages with the same set of word runs form a class, and classes are
+    compared by their smallest id. Members of a class come out in all their
+    pairs and in all pairs with its neighbours. The one exception are more than
+    ``expand`` exact copies of one text: each is paired with their smallest id,
+    which alone stands for the text in pairs with other texts, so output grows
+    with the rows. Null texts and texts under ``run_words`` words give no pair.
     Texts are read whole. Other columns are not read; an empty table gives no
     rows. ``counters_log2`` sets the size of the table of posting counts, and
     ``list_rows`` the length from which lists are salted; both change the work,
@@ -124,19 +125,21 @@ def near_pairs(
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mult = multipliers(coordinates)
         for batch in batches:
-            ids, keys, sigs = [], [], []
+            ids, keys, texts, sigs = [], [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 r = runs(text, run_words)
                 if len(r):
                     ids.append(i)
                     # the set of runs decides, so texts with one set are one class
                     keys.append(xxhash.xxh3_128_digest(r.tobytes()))
+                    texts.append(xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass")))
                     sigs.append(signature(r, mult).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, pa.binary()) for c in (keys, sigs))], ["id", "key", "sig"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, pa.binary()) for c in (keys, texts, sigs))], ["id", "key", "text_key", "sig"])
 
-    signed = materialize(rows.mapInArrow(sign, "id bigint, key binary, sig binary"), "signatures")
-    sizes = signed.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    multi = materialize(signed.select("id", "key").join(sizes.where("copies > 1"), "key").select("id", "rep", "copies"), "copies")
+    signed = materialize(rows.mapInArrow(sign, "id bigint, key binary, text_key binary, sig binary"), "signatures")
+    same_runs, same_text = Window.partitionBy("key"), Window.partitionBy("key", "text_key")
+    grouped = signed.select("id", F.min("id").over(same_runs).alias("rep"), F.count("*").over(same_runs).alias("n"), F.min("id").over(same_text).alias("first"), F.count("*").over(same_text).alias("copies"))
+    multi = materialize(grouped.where("n > 1").drop("n"), "copies")
     reps = signed.join(multi.where("id <> rep").select("id"), "id", "left_anti").select("id", "sig")
 
     mask = np.uint64((1 << counters_log2) - 1)
@@ -224,11 +227,11 @@ def near_pairs(
     text_a, text_b = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
     linked = matched.join(text_a, "a").join(text_b, "b").where(similar("ta", "tb")).select("a", "b")
 
-    small = multi.where(F.col("copies") <= expand)
-    member_a = small.select(F.col("rep").alias("a"), F.col("id").alias("ia"))
-    member_b = small.select(F.col("rep").alias("b"), F.col("id").alias("ib"))
+    members = multi.where((F.col("copies") <= expand) | (F.col("id") == F.col("first")))
+    member_a = members.select(F.col("rep").alias("a"), F.col("id").alias("ia"))
+    member_b = members.select(F.col("rep").alias("b"), F.col("id").alias("ib"))
     across = linked.join(member_a, "a", "left").join(member_b, "b", "left").select(F.coalesce("ia", "a").alias("x"), F.coalesce("ib", "b").alias("y"))
     within = member_a.join(member_b, F.col("a") == F.col("b")).where("ia < ib").select(F.col("ia").alias("x"), F.col("ib").alias("y"))
-    star = multi.where((F.col("copies") > expand) & (F.col("id") != F.col("rep"))).select(F.col("rep").alias("x"), F.col("id").alias("y"))
+    star = multi.where((F.col("copies") > expand) & (F.col("id") != F.col("first"))).select(F.col("first").alias("x"), F.col("id").alias("y"))
     every = across.unionByName(within).unionByName(star)
     return every.select(F.least("x", "y").alias("chunk_id_a"), F.greatest("x", "y").alias("chunk_id_b"))

@@ -94,3 +94,15 @@ def test_near_pairs_miss_no_pair_that_agrees_enough(spark):
     assert {tuple(x) for x in nearpairs.near_pairs(df).collect()} == want
     # lists cut into tiles lose none either
     assert {tuple(x) for x in nearpairs.near_pairs(df, list_rows=1, counters_log2=8).collect()} == want
+
+
+def test_near_pairs_only_exact_copies_stay_a_star(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    near = base.replace("w30", "other")
+    # 70 texts of one set of runs, none equal, and 5 copies where 3 may come out in all pairs
+    rows = [(i, base + "!" * i) for i in range(70)] + [(100, near)]
+    got = {tuple(r) for r in nearpairs.near_pairs(spark.createDataFrame(rows, "chunk_id bigint, text string")).collect()}
+    assert got == {(a, b) for a, _ in rows for b, _ in rows if a < b}
+    rows = [(i, base) for i in range(5)] + [(5, base.upper()), (6, base + "."), (7, near)]
+    got = [tuple(r) for r in nearpairs.near_pairs(spark.createDataFrame(rows, "chunk_id bigint, text string"), expand=3).collect()]
+    assert sorted(got) == [(0, i) for i in range(1, 8)] + [(5, 6), (5, 7), (6, 7)]
