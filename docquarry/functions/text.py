@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+INSTANCE = "^gpio(?=[a-k]$)|^(tim|usart|uart|spi|i2c|i2s|dma|adc|can|dac|otg)(?=[0-9]+$)"
+
 
 def tokens(text: Column) -> Column:
     """Lower-case ASCII words and identifiers; null gives null."""
@@ -12,10 +14,27 @@ def tokens(text: Column) -> Column:
 
 
 def identifiers(text: Column) -> Column:
-    """Upper-case names with a digit or an underscore inside, as registers have."""
+    """Upper-case names with a digit before their only underscore, as the SQL of the older queries has them; see ``names``."""
     return F.regexp_extract_all(text, F.lit("([A-Z]+[0-9][A-Z0-9]*_[A-Z0-9]+)"), 1)
 
 
+def names(text: Column) -> Column:
+    """Whole words of a letter, letters and digits, and underscore parts, in either case; given in lower case."""
+    word = "(?<![\\p{L}\\p{N}_])([A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)+)(?![\\p{L}\\p{N}_])"
+    return F.transform(F.regexp_extract_all(text, F.lit(word), 1), F.lower)
+
+
+def name_variants(found: Column) -> Column:
+    """Lower-case names and, of those of a numbered instance, the forms for any instance: usart2_sr gives usartx_sr and usart_sr."""
+
+    def forms(name: Column) -> Column:
+        base = F.regexp_extract(F.substring_index(name, "_", 1), INSTANCE, 0)
+        rest = F.regexp_replace(name, "^[^_]*_", "")
+        return F.when(base == "", F.array(name)).otherwise(F.array(name, F.concat(base, F.lit("x_"), rest), F.concat(base, F.lit("_"), rest)))
+
+    return F.array_distinct(F.flatten(F.transform(found, forms)))
+
+
 def squeezed(text: Column) -> Column:
     """Trimmed, each run of ASCII blanks one blank, lower case."""
     return F.lower(F.trim(F.regexp_replace(text, "[ \\t\\r\\n]+", " ")))

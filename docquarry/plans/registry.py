@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.functions.text import cited_ranks, identifiers, squeezed
+from docquarry.functions.text import cited_ranks, identifiers, names, squeezed
 from docquarry.operators import catalog, evaluate, search
 from docquarry.sources.tables import table
 
@@ -82,14 +82,20 @@ def register_names(s: SparkSession, d: str) -> DataFrame:
     return names.groupBy("name").agg(F.count("*").alias("n_chunks"))
 
 
+def register_names_all(s: SparkSession, d: str) -> DataFrame:
+    found = table(s, d, "chunks").select("chunk_id", F.explode(F.array_distinct(names(F.col("text")))).alias("name"))
+    return found.groupBy("name").agg(F.count("*").alias("n_chunks"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         hybrid_search, bm25_topk, identifier_boost, vector_topk, build_terms, catalog_stats, incremental_plan, latest_files, duplicate_texts,
-        resume_missing, eval_summary, latency_stats, suggest_threshold, normalize_question, register_names,
+        resume_missing, eval_summary, latency_stats, suggest_threshold, normalize_question, register_names, register_names_all,
     )
     return {f.__name__: f for f in every} | {"cited_ranks": cited}
 
 
+WHOLE_NAMES = r"list_transform(list_filter(string_split_regex({0}, '[^\p{{L}}\p{{N}}_]+'), lambda w: regexp_full_match(w, '[A-Za-z][A-Za-z0-9]*(_[A-Za-z0-9]+)+')), lambda w: lower(w))"
 TOK = "regexp_extract_all(lower(replace({0}, 'İ', ' ')), '[a-z0-9_]+')"
 NAME = "regexp_extract_all({0}, '[A-Z]+[0-9][A-Z0-9]*_[A-Z0-9]+')"
 BM25 = f"""
@@ -138,4 +144,5 @@ def oracle_sql() -> dict[str, str]:
         "cited_ranks": r"WITH c AS (SELECT DISTINCT result_id, CAST(unnest(regexp_extract_all(answer, '\[([0-9]{1,3})\]', 1)) AS INT) AS cited_rank FROM eval_results) SELECT cited_rank, count(*) AS n FROM c GROUP BY 1",
         "normalize_question": r"SELECT lower(trim(regexp_replace(replace(question, 'İ', 'i'), '[ \t\r\n]+', ' ', 'g'))) AS asked, count(*) AS n FROM eval_results GROUP BY 1",
         "register_names": f"WITH t AS (SELECT DISTINCT chunk_id, unnest({NAME.format('text')}) AS name FROM chunks) SELECT name, count(*) AS n_chunks FROM t GROUP BY name",
+        "register_names_all": f"WITH t AS (SELECT DISTINCT chunk_id, unnest({WHOLE_NAMES.format('text')}) AS name FROM chunks) SELECT name, count(*) AS n_chunks FROM t GROUP BY name",
     }

@@ -1,4 +1,8 @@
+import pytest
+
+from docquarry.functions import text
 from docquarry.operators import catalog, search
+from docquarry.plans import registry
 
 
 def test_duplicate_texts_ignore_null(spark):
@@ -11,3 +15,20 @@ def test_bm25_prefers_the_passage_with_the_term(spark):
     asked = spark.createDataFrame([("q", "the clock")], "id string, question string")
     got = search.bm25(asked, docs, q_id="id", q_text="question", id_col="doc_id", text_col="text").collect()
     assert [(r.pid, r.rank) for r in got] == [(2, 1)]
+
+
+def test_names_are_the_reference_ones(spark):
+    df = spark.createDataFrame([("Set USART_SR, RCC_AHB1ENR and usbk7_modr; GPIOD_MODER_2 too, not 1_A, é_B or A_Bé. USART2_SR",)], "t string")
+    found = df.select(text.names(df.t)).first()[0]
+    assert found == ["usart_sr", "rcc_ahb1enr", "usbk7_modr", "gpiod_moder_2", "usart2_sr"]
+    variants = df.select(text.name_variants(text.names(df.t))).first()[0]
+    assert set(variants) == {*found, "gpiox_moder_2", "gpio_moder_2", "usartx_sr"}
+
+
+def test_register_names_all_equals_its_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(1, "usbk7_modr USART_SR"), (2, "X_1_2 usart_sr A_Bé"), (3, None)]
+    spark.createDataFrame(rows, "chunk_id bigint, text string").write.parquet(f"{tmp_path}/chunks.parquet")
+    want = duckdb.sql(registry.oracle_sql()["register_names_all"].replace("FROM chunks", f"FROM '{tmp_path}/chunks.parquet/*.parquet'")).fetchall()
+    got = [tuple(r) for r in registry.queries()["register_names_all"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) == [("usart_sr", 2), ("usbk7_modr", 1), ("x_1_2", 1)]
