@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docquarry.functions.text import identifiers, tokens
+from docquarry.functions.text import identifiers, name_variants, names, tokens
 
 K1, B, RRF_K = 1.2, 0.75, 60
 
@@ -68,3 +74,83 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, *, id_col: str = "vec_id
 
     pairs = unit(vectors, "pid", "pv").join(unit(queries, "qid", "qv"), F.col("pid") != F.col("qid"))
     return top(pairs.select("qid", "pid", F.round(dot, 6).alias("score")), [F.desc("score"), "pid"], k)
+
+
+def with_headings(chunks: DataFrame) -> DataFrame:
+    """(pid, section, text, full): ``full`` is the text under its chapter and section, as it is embedded and indexed."""
+    chapter, section, text = (F.coalesce(F.col(c), F.lit("")) for c in ("chapter", "section", "text"))
+    both = F.when(section == "", chapter).otherwise(F.concat(chapter, F.lit(" > "), section))
+    path = F.when((chapter != "") & (chapter != section), both).otherwise(section)
+    full = F.when((path == "") | F.startswith(text, path), text).otherwise(F.concat(path, F.lit("\n"), text))
+    return chunks.select(F.col("chunk_id").alias("pid"), section.alias("section"), text.alias("text"), full.alias("full"))
+
+
+def hash_vectors(texts: list[str], dim: int, known: dict[str, tuple[int, int]]) -> np.ndarray:
+    """Unit vectors of signed token counts: bucket and sign of a token come from its md5; a text without tokens gives zeros."""
+    out = np.zeros((len(texts), dim))
+    for row, text in zip(out, texts):
+        for t in re.findall("[a-z0-9]+", text.lower()):
+            if t not in known:
+                if len(known) > 500_000:
+                    known.clear()
+                h = int.from_bytes(hashlib.md5(t.encode()).digest()[:4], "little")
+                known[t] = (h % dim, 1 if h >> 31 else -1)
+            at, sign = known[t]
+            row[at] += sign
+    size = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return np.divide(out, size, out=out, where=size > 0)
+
+
+def hash_topk(questions: DataFrame, passages: DataFrame, *, q_id: str, q_text: str, id_col: str, text_col: str, k: int = 30, dim: int = 256) -> DataFrame:
+    """(qid, pid, score, rank): the ``k`` passages with the highest cosine of hashed vectors; ties go to the lower pid.
+
+    The question set goes to every worker, so it has to be a stated one;
+    passages are scored where they lie and only each batch's best shuffle.
+    """
+    asked = questions.select(F.col(q_id).alias("qid"), F.coalesce(F.col(q_text), F.lit("")).alias("q")).collect()
+    qids, wanted = [r.qid for r in asked], hash_vectors([r.q for r in asked], dim, {})
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[int, int]] = {}
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 5000):
+                part = batch.slice(lo, 5000)
+                pids = part.column(0).to_numpy()
+                order = np.argsort(pids)
+                score = np.rint(wanted @ hash_vectors(part.column(1).to_pylist(), dim, known)[order].T * 1e6).astype(np.int64)
+                # one number by score, then lower pid
+                key = (score << 20) - np.arange(len(pids))
+                n = min(k, len(pids))
+                at = np.argpartition(-key, n - 1, axis=1)[:, :n]
+                which = np.repeat(np.arange(len(qids)), n)
+                yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(pids[order][at.ravel()]), pa.array(score[which, at.ravel()] / 1e6)], ["q", "pid", "score"])
+
+    rows = passages.select(F.col(id_col).cast("bigint").alias("pid"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("pid is not null")
+    scored = rows.mapInArrow(best, "q int, pid bigint, score double")
+    found = top(scored.withColumnRenamed("q", "qid"), [F.desc("score"), "pid"], k)
+    label = questions.sparkSession.createDataFrame(list(enumerate(qids)), f"q int, qid {questions.schema[q_id].dataType.simpleString()}")
+    return found.withColumnRenamed("qid", "q").join(F.broadcast(label), "q").select("qid", "pid", "score", "rank")
+
+
+def hybrid_passages(questions: DataFrame, chunks: DataFrame, *, q_id: str = "id", q_text: str = "question", pool: int = 30, k: int = 5) -> DataFrame:
+    """(qid, pid, score, rank): the ``k`` best chunks by vector and keyword ranks together.
+
+    Both pools hold ``pool`` chunks. Every chunk of a pool whose section holds
+    one of the question's names, or a variant of one, counts as first in one
+    more ranking, whatever their number. Ties go to the better vector rank,
+    then the lower id; of the best 2 ``k``, equal texts are kept once.
+    """
+    passages = with_headings(chunks)
+    given = {"q_id": q_id, "q_text": q_text, "id_col": "pid", "text_col": "full", "k": pool}
+    vector, keyword = hash_topk(questions, passages, **given), bm25(questions, passages, **given)
+    ranked = vector.select("qid", "pid", "rank", F.col("rank").alias("vector_rank")).unionByName(keyword.select("qid", "pid", "rank"), allowMissingColumns=True)
+    fused = ranked.groupBy("qid", "pid").agg(F.sum(1 / (RRF_K + F.col("rank"))).alias("fused"), F.min("vector_rank").alias("vector_rank"))
+    variants = questions.select(F.col(q_id).alias("qid"), name_variants(names(F.col(q_text))).alias("variants"))
+    # at most 2 * pool rows for each question
+    kept = passages.join(F.broadcast(fused), "pid").join(F.broadcast(variants), "qid")
+    held = F.exists("variants", lambda v: F.contains(F.lower("section"), v))
+    score = F.round(F.col("fused") + F.when(held, F.lit(1 / (RRF_K + 1))).otherwise(0.0), 9)
+    body = F.md5(F.regexp_replace("text", r"^[\s\p{Z}\x{1c}-\x{1f}\x{85}]+|[\s\p{Z}\x{1c}-\x{1f}\x{85}]+$", ""))
+    first = top(kept.select("qid", "pid", "vector_rank", score.alias("score"), body.alias("body")), [F.desc("score"), F.asc_nulls_last("vector_rank"), "pid"], 2 * k)
+    once = first.withColumn("r", F.row_number().over(Window.partitionBy("qid", "body").orderBy("rank"))).where("r = 1")
+    return top(once.withColumnRenamed("rank", "before"), ["before"], k).select("qid", "pid", "score", "rank")

@@ -26,6 +26,10 @@ def hybrid_search(s: SparkSession, d: str) -> DataFrame:
     return search.fuse(bm25_topk(s, d), identifier_boost(s, d))
 
 
+def hybrid_passages(s: SparkSession, d: str) -> DataFrame:
+    return search.hybrid_passages(table(s, d, "eval_questions"), table(s, d, "chunks"))
+
+
 def vector_topk(s: SparkSession, d: str) -> DataFrame:
     v = table(s, d, "embeddings")
     return search.cosine_topk(v.where("vec_id % 50 = 0"), v)
@@ -90,7 +94,7 @@ def register_names_all(s: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         hybrid_search, bm25_topk, identifier_boost, vector_topk, build_terms, catalog_stats, incremental_plan, latest_files, duplicate_texts,
-        resume_missing, eval_summary, latency_stats, suggest_threshold, normalize_question, register_names, register_names_all,
+        resume_missing, eval_summary, latency_stats, suggest_threshold, normalize_question, register_names, register_names_all, hybrid_passages,
     )
     return {f.__name__: f for f in every} | {"cited_ranks": cited}
 
@@ -114,6 +118,40 @@ IDENT = f"""
     isc AS (SELECT qid, pid, CAST(count(*) AS DOUBLE) AS score FROM an JOIN hn USING (name) GROUP BY ALL),
     im AS (SELECT qid, pid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS rank FROM isc QUALIFY rank <= 10)"""
 
+HASHED = r"list_transform(list_filter(regexp_extract_all(lower(replace({0}, 'İ', 'i ')), '[a-z0-9]+'), lambda t: t <> ''), lambda t: md5(t))"
+STRIP = r"regexp_replace({0}, '^[\s\pZ\x0B\x1C-\x1F\x{{85}}]+|[\s\pZ\x0B\x1C-\x1F\x{{85}}]+$', '', 'g')"
+# BM25 over chunks under their headings, hashed vectors of 256 counts, both to 30, and the reference's boost by section
+PASSAGES = f"""
+    c0 AS (SELECT chunk_id AS pid, coalesce(chapter, '') AS ch, coalesce(section, '') AS section, coalesce(text, '') AS text FROM chunks),
+    c1 AS (SELECT *, CASE WHEN ch <> '' AND ch <> section THEN CASE WHEN section = '' THEN ch ELSE ch || ' > ' || section END ELSE section END AS path FROM c0),
+    c AS (SELECT pid, section, text, CASE WHEN path = '' OR starts_with(text, path) THEN text ELSE path || chr(10) || text END AS full_text FROM c1),
+    tok AS (SELECT pid, unnest({TOK.format('full_text')}) AS term FROM c),
+    post AS (SELECT pid, term, count(*) AS tf FROM tok GROUP BY ALL),
+    sz AS (SELECT pid, len({TOK.format('full_text')}) AS l FROM c),
+    st AS (SELECT count(*) AS n, avg(l) AS al FROM sz),
+    d AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+    ask AS (SELECT DISTINCT id AS qid, unnest({TOK.format('question')}) AS term FROM eval_questions),
+    sc AS (SELECT qid, pid, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / al))), 6) AS score
+           FROM ask JOIN post USING (term) JOIN d USING (term) JOIN sz USING (pid), st GROUP BY ALL),
+    bm AS (SELECT qid, pid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS rank FROM sc QUALIFY rank <= 30),
+    ph AS (SELECT pid, unnest({HASHED.format('full_text')}) AS h FROM c),
+    qh AS (SELECT id AS qid, unnest({HASHED.format("coalesce(question, '')")}) AS h FROM eval_questions),
+    pv AS (SELECT pid, h[1:2] AS b, sum(CASE WHEN h[7] >= '8' THEN 1 ELSE -1 END) AS x FROM ph GROUP BY ALL),
+    qv AS (SELECT qid, h[1:2] AS b, sum(CASE WHEN h[7] >= '8' THEN 1 ELSE -1 END) AS x FROM qh GROUP BY ALL),
+    pl AS (SELECT pid, sqrt(sum(x * x)) AS l FROM pv GROUP BY pid), ql AS (SELECT qid, sqrt(sum(x * x)) AS l FROM qv GROUP BY qid),
+    dt AS (SELECT qid, pid, sum(qv.x * pv.x) AS dot FROM qv JOIN pv USING (b) GROUP BY ALL),
+    cs AS (SELECT id AS qid, c.pid, round(coalesce(dot / nullif(ql.l * pl.l, 0), 0), 6) AS score FROM eval_questions CROSS JOIN c
+           LEFT JOIN dt ON dt.qid = id AND dt.pid = c.pid LEFT JOIN ql ON ql.qid = id LEFT JOIN pl ON pl.pid = c.pid),
+    vr AS (SELECT qid, pid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS rank FROM cs QUALIFY rank <= 30),
+    fu AS (SELECT qid, pid, sum(1 / (60 + rank)) AS fused, min(vrank) AS vrank FROM (SELECT qid, pid, rank, rank AS vrank FROM vr UNION ALL SELECT qid, pid, rank, NULL FROM bm) GROUP BY ALL),
+    nm AS (SELECT id AS qid, unnest({WHOLE_NAMES.format('question')}) AS name FROM eval_questions),
+    ba AS (SELECT qid, name, regexp_replace(name, '^[^_]*_', '') AS rest, regexp_extract(split_part(name, '_', 1), '^(gpio)[a-k]$', 1)
+           || regexp_extract(split_part(name, '_', 1), '^(tim|usart|uart|spi|i2c|i2s|dma|adc|can|dac|otg)[0-9]+$', 1) AS base FROM nm),
+    va AS (SELECT qid, name AS v FROM ba UNION SELECT qid, base || 'x_' || rest FROM ba WHERE base <> '' UNION SELECT qid, base || '_' || rest FROM ba WHERE base <> ''),
+    bo AS (SELECT qid, pid, text, vrank, round(fused + CASE WHEN EXISTS (SELECT 1 FROM va WHERE va.qid = fu.qid AND contains(lower(section), v)) THEN 1 / 61 ELSE 0 END, 9) AS score FROM fu JOIN c USING (pid)),
+    fi AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vrank NULLS LAST, pid) AS r FROM bo QUALIFY r <= 10),
+    un AS (SELECT * FROM fi QUALIFY row_number() OVER (PARTITION BY qid, {STRIP.format('text')} ORDER BY r) = 1)"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -145,4 +183,5 @@ def oracle_sql() -> dict[str, str]:
         "normalize_question": r"SELECT lower(trim(regexp_replace(replace(question, 'İ', 'i'), '[ \t\r\n]+', ' ', 'g'))) AS asked, count(*) AS n FROM eval_results GROUP BY 1",
         "register_names": f"WITH t AS (SELECT DISTINCT chunk_id, unnest({NAME.format('text')}) AS name FROM chunks) SELECT name, count(*) AS n_chunks FROM t GROUP BY name",
         "register_names_all": f"WITH t AS (SELECT DISTINCT chunk_id, unnest({WHOLE_NAMES.format('text')}) AS name FROM chunks) SELECT name, count(*) AS n_chunks FROM t GROUP BY name",
+        "hybrid_passages": f"WITH {PASSAGES} SELECT qid, pid, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY r) AS INT) AS rank FROM un QUALIFY rank <= 5",
     }

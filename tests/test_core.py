@@ -32,3 +32,13 @@ def test_register_names_all_equals_its_sql(spark, tmp_path):
     want = duckdb.sql(registry.oracle_sql()["register_names_all"].replace("FROM chunks", f"FROM '{tmp_path}/chunks.parquet/*.parquet'")).fetchall()
     got = [tuple(r) for r in registry.queries()["register_names_all"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(want) == [("usart_sr", 2), ("usbk7_modr", 1), ("x_1_2", 1)]
+
+
+def test_hybrid_passages_boost_every_candidate_with_the_name(spark):
+    # 15 chunks hold the name in their section, more than the ten that identifier_rank keeps
+    rows = [(i, "", "USARTx_SR status" if i >= 5 else "other", f"what holds bits part{i}") for i in range(20)] + [(20, "", "", None)]
+    chunks = spark.createDataFrame(rows, "chunk_id bigint, chapter string, section string, text string")
+    asked = spark.createDataFrame([("q", "What holds USART2_SR?")], "id string, question string")
+    got = search.hybrid_passages(asked, chunks, k=20).collect()
+    boosted = {r.pid for r in got if r.rank <= 15}
+    assert boosted == set(range(5, 20))
