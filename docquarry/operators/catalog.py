@@ -25,13 +25,40 @@ def latest_files(files: DataFrame) -> DataFrame:
 
 
 def incremental_plan(files: DataFrame, documents: DataFrame) -> DataFrame:
-    """What intake has to do per source: ``skip`` if all its documents are complete, ``resume`` if some are not, ``add`` if it has none."""
+    """By the documents' state alone, without content or settings (see ``snapshot_actions``), per source: ``skip`` if all its documents are complete, ``resume`` if some are not, ``add`` if it has none."""
     wanted = files.where("source is not null").select("source").distinct()
     have = documents.where("source is not null").groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("complete")).alias("done"))
     act = F.when(F.col("n").isNull(), "add").when(F.col("done") < F.col("n"), "resume").otherwise("skip")
     return wanted.join(have, "source", "left").select("source", act.alias("action"))
 
 
+def snapshot_actions(stored: DataFrame, found: DataFrame) -> DataFrame:
+    """(source, action) of what intake has to do, from one row a source (source, sha256, chunker_sig; ``stored`` also complete).
+
+    ``add`` a new source, ``remove`` one no longer found, ``update`` one with
+    other content or chunker settings, ``resume`` an incomplete one that is
+    the same, ``skip`` a complete one.
+    """
+    a = stored.select("source", F.col("sha256").alias("s0"), F.col("chunker_sig").alias("c0"), F.col("complete").alias("done"), F.lit(True).alias("had"))
+    b = found.select("source", F.col("sha256").alias("s1"), F.col("chunker_sig").alias("c1"), F.lit(True).alias("has"))
+    same = F.col("s0").eqNullSafe(F.col("s1")) & F.col("c0").eqNullSafe(F.col("c1"))
+    act = F.when(F.col("had").isNull(), "add").when(F.col("has").isNull(), "remove").when(~same, "update").when(F.coalesce("done", F.lit(False)), "skip").otherwise("resume")
+    return a.join(b, "source", "full_outer").select("source", act.alias("action"))
+
+
+def newest_by_source(files: DataFrame) -> DataFrame:
+    """The newest record of every source, by time of intake, then of report, then id; null is no source."""
+    order = F.struct("ingested_at", "reported_at", "file_id")
+    return files.where("source is not null").groupBy("source").agg(F.max_by(F.struct("sha256", "chunker_sig", "complete"), order).alias("f")).select("source", "f.*")
+
+
+def missing_chunks(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(doc_id, source, chunk_index) of every chunk that a document should have (0 to n_chunks - 1) and that is not stored."""
+    wanted = documents.where("n_chunks > 0").select("doc_id", "source", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("chunk_index"))
+    have = chunks.select(F.col("document_id").alias("doc_id"), "chunk_index")
+    return wanted.join(have, ["doc_id", "chunk_index"], "left_anti").select("doc_id", "source", "chunk_index")
+
+
 def duplicate_texts(documents: DataFrame) -> DataFrame:
     """(text_hash, first_id, copies) of every text stored more than once."""
     keyed = documents.where("text is not null").select(F.md5("text").alias("text_hash"), "doc_id")

@@ -47,6 +47,19 @@ def incremental_plan(s: SparkSession, d: str) -> DataFrame:
     return catalog.incremental_plan(table(s, d, "source_files"), table(s, d, "documents"))
 
 
+def snapshot_actions(s: SparkSession, d: str) -> DataFrame:
+    """The log up to the middle of its time is the stored snapshot, what was taken in after it the found one."""
+    files = table(s, d, "source_files")
+    half = files.agg(F.timestamp_micros(F.expr("(unix_micros(cast(min(ingested_at) as timestamp)) + unix_micros(cast(max(ingested_at) as timestamp))) div 2")).cast("timestamp_ntz").alias("half"))
+    split = files.crossJoin(F.broadcast(half))  # half is one row
+    at = F.col("ingested_at").cast("timestamp_ntz")
+    return catalog.snapshot_actions(catalog.newest_by_source(split.where(at <= F.col("half"))), catalog.newest_by_source(split.where(at > F.col("half"))))
+
+
+def missing_chunks(s: SparkSession, d: str) -> DataFrame:
+    return catalog.missing_chunks(table(s, d, "documents"), table(s, d, "chunks"))
+
+
 def latest_files(s: SparkSession, d: str) -> DataFrame:
     return catalog.latest_files(table(s, d, "source_files")).select("file_id", "source", "sha256", "n_chunks")
 
@@ -94,7 +107,7 @@ def register_names_all(s: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         hybrid_search, bm25_topk, identifier_boost, vector_topk, build_terms, catalog_stats, incremental_plan, latest_files, duplicate_texts,
-        resume_missing, eval_summary, latency_stats, suggest_threshold, normalize_question, register_names, register_names_all, hybrid_passages,
+        resume_missing, eval_summary, latency_stats, suggest_threshold, normalize_question, register_names, register_names_all, hybrid_passages, snapshot_actions, missing_chunks,
     )
     return {f.__name__: f for f in every} | {"cited_ranks": cited}
 
@@ -184,4 +197,12 @@ def oracle_sql() -> dict[str, str]:
         "register_names": f"WITH t AS (SELECT DISTINCT chunk_id, unnest({NAME.format('text')}) AS name FROM chunks) SELECT name, count(*) AS n_chunks FROM t GROUP BY name",
         "register_names_all": f"WITH t AS (SELECT DISTINCT chunk_id, unnest({WHOLE_NAMES.format('text')}) AS name FROM chunks) SELECT name, count(*) AS n_chunks FROM t GROUP BY name",
         "hybrid_passages": f"WITH {PASSAGES} SELECT qid, pid, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY r) AS INT) AS rank FROM un QUALIFY rank <= 5",
+        "snapshot_actions": """WITH h AS (SELECT make_timestamp((epoch_us(min(ingested_at)) + epoch_us(max(ingested_at))) // 2) AS half FROM source_files),
+            f AS (SELECT s.*, ingested_at <= half AS early FROM source_files s, h WHERE source IS NOT NULL),
+            n AS (SELECT * FROM f WHERE early IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source, early ORDER BY ingested_at DESC, reported_at DESC NULLS LAST, file_id DESC) = 1)
+            SELECT source, CASE WHEN o.file_id IS NULL THEN 'add' WHEN w.file_id IS NULL THEN 'remove'
+                WHEN o.sha256 IS DISTINCT FROM w.sha256 OR o.chunker_sig IS DISTINCT FROM w.chunker_sig THEN 'update' WHEN o.complete THEN 'skip' ELSE 'resume' END AS action
+            FROM (SELECT * FROM n WHERE early) o FULL JOIN (SELECT * FROM n WHERE NOT early) w USING (source)""",
+        "missing_chunks": """SELECT doc_id, source, chunk_index FROM (SELECT doc_id, source, CAST(unnest(range(n_chunks)) AS INT) AS chunk_index FROM documents) w
+            WHERE NOT EXISTS (SELECT 1 FROM chunks c WHERE c.document_id = w.doc_id AND c.chunk_index = w.chunk_index)""",
     }

@@ -42,3 +42,17 @@ def test_hybrid_passages_boost_every_candidate_with_the_name(spark):
     got = search.hybrid_passages(asked, chunks, k=20).collect()
     boosted = {r.pid for r in got if r.rank <= 15}
     assert boosted == set(range(5, 20))
+
+
+def test_snapshots_give_all_five_actions(spark):
+    kind = "source string, sha256 string, chunker_sig string, complete boolean"
+    old = spark.createDataFrame([("gone", "a", "1", True), ("text", "a", "1", True), ("settings", "a", "1", True), ("part", "a", "1", False), ("same", "a", "1", True)], kind)
+    new = spark.createDataFrame([("new", "a", "1", True), ("text", "b", "1", True), ("settings", "a", "2", True), ("part", "a", "1", True), ("same", "a", "1", True)], kind)
+    got = dict(map(tuple, catalog.snapshot_actions(old, new).collect()))
+    assert got == {"gone": "remove", "new": "add", "text": "update", "settings": "update", "part": "resume", "same": "skip"}
+
+
+def test_missing_chunks_of_a_part(spark):
+    docs = spark.createDataFrame([(1, "s", 3), (2, "s", 1), (3, None, 0)], "doc_id bigint, source string, n_chunks int")
+    chunks = spark.createDataFrame([(1, 0), (1, 2), (2, 0)], "document_id bigint, chunk_index int")
+    assert [tuple(r) for r in catalog.missing_chunks(docs, chunks).collect()] == [(1, "s", 1)]
