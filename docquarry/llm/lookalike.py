@@ -137,7 +137,7 @@ def count_code_points(documents: DataFrame, text_col: str = "text") -> dict[str,
         total: Counter = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                if text and not text.isascii():
+                if text:
                     total.update(text)
         yield pa.RecordBatch.from_arrays([pa.array([ord(c) for c in total], pa.int32()), pa.array(list(total.values()), pa.int64())], ["c", "n"])
 
@@ -150,7 +150,7 @@ def one_form(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     ``form`` is the text in one consistent form; the keys are 128-bit hashes of
     stored text and form. Null texts give no row, empty ones an empty form.
-    Code points of texts with only ASCII count as used already.
+    Code points of all texts are counted.
     """
     rules = representatives(build_classes(), ascii_first(count_code_points(documents, text_col)))
     shared = documents.sparkSession.sparkContext.broadcast(rules)

@@ -106,3 +106,10 @@ def test_near_pairs_only_exact_copies_stay_a_star(spark):
     rows = [(i, base) for i in range(5)] + [(5, base.upper()), (6, base + "."), (7, near)]
     got = [tuple(r) for r in nearpairs.near_pairs(spark.createDataFrame(rows, "chunk_id bigint, text string"), expand=3).collect()]
     assert sorted(got) == [(0, i) for i in range(1, 8)] + [(5, 6), (5, 7), (6, 7)]
+
+
+def test_forms_count_ascii_texts_too(spark):
+    english = "The area of each table has a name, a state and an order of access."
+    rows = [(i, english) for i in range(60)] + [(100 + i, "Когда сторона доходит до края, она поворачивает обратно") for i in range(10)]
+    got = {r.doc_id: r.form for r in lookalike.one_form(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[0] == english
