@@ -3,10 +3,11 @@
 A signature holds one minimum hash of the passage's word runs per coordinate.
 Passages are posted under each (coordinate, value) pair; two passages whose
 run sets have the wanted similarity agree in at least ``least`` coordinates
-but for a chance of about 1 in 1000. Prefix merging: if postings are ranked by
-how common they are, two passages that agree in ``least`` of ``coordinates``
-postings must agree within the ``coordinates - least + 1`` rarest of each, so
-only those are posted. Skip merging: a posting nobody else has is skipped.
+but for a chance of about 1 in 2000. Prefix merging: if postings stand in one
+order, roughly by how common they are, two passages that agree in ``least`` of
+``coordinates`` postings must agree within the first ``coordinates - least +
+1`` of each, so only those are posted. Skip merging: a list of one member is
+passed over, and in a list a member is compared only with those after it.
 Postings of a long list are salted into tiles, so that every two of its
 members still meet in one. A posting carries the low byte of every coordinate,
 which two different values share once in 256 cases and equal ones always, so
@@ -23,10 +24,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.functions import pandas_udf
-from pyspark.sql.window import Window
 
-from docquarry.llm.materialize import materialize
+from docquarry.llm.materialize import discard, materialize
 from docquarry.llm.words import words
 
 
@@ -75,21 +74,24 @@ def met_pairs(post: np.ndarray, ids: np.ndarray, low: np.ndarray, least: int) ->
     return pairs[:, 0], pairs[:, 1]
 
 
-def among(rows: DataFrame, ids: DataFrame, bits: int = 1 << 26) -> DataFrame:
-    """``rows`` whose ``id`` may be one of ``ids``: all that are, and few others.
+def among(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose ``id`` may be one of ``ids``, all that are and few others, and the table this rests on.
 
-    Hashed ids set bits of one bitmap, kept in blocks of 4 KB, so what is
-    broadcast has at most ``bits`` / 8 bytes (8 MB) at any number of ids. An
-    exact join follows wherever this is used; it only spares it most rows.
+    Hashed ids set bits of one bitmap of 16 to 32 bits an id, kept in blocks of
+    4 KB; beyond 2 ** 26 ids it stays at 2 ** 30 bits, so at most 128 MB are
+    broadcast. An exact join follows wherever this is used; it only spares it
+    most rows.
     """
+    n = ids.count()
+    bits = 1 << min(30, max(15, (16 * n).bit_length()))
     place = F.pmod(F.xxhash64("id"), F.lit(bits)) + 1
     marked = ids.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("block"))
     blocks = materialize(marked.agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bitmap")), "bitmap")
     at = F.bitmap_bit_position("p").cast("int")
-    byte = F.conv(F.hex(F.substring(F.col("bitmap"), F.call_function("shiftright", at, F.lit(3)) + 1, F.lit(1))), 16, 10).cast("int")
-    one_is_set = byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), at.bitwiseAND(7))) != 0
+    byte = F.ascii(F.decode(F.substring(F.col("bitmap"), F.shiftright(at, 3) + 1, F.lit(1)), "ISO-8859-1"))
+    one_is_set = F.getbit(byte, at.bitwiseAND(7)) == 1
     tried = rows.withColumn("p", place).withColumn("block", F.bitmap_bucket_number("p"))
-    return tried.join(F.broadcast(blocks), "block").where(one_is_set).select(*rows.columns)
+    return tried.join(F.broadcast(blocks), "block").where(one_is_set).select(*rows.columns), blocks
 
 
 def near_pairs(
@@ -99,9 +101,9 @@ def near_pairs(
     text_col: str = "text",
     run_words: int = 3,
     similarity: float = 0.5,
-    coordinates: int = 42,
-    least: int = 11,
-    counters_log2: int = 21,
+    coordinates: int = 28,
+    least: int = 6,
+    counters_log2: int = 18,
     list_rows: int = 2000,
     expand: int = 64,
 ) -> DataFrame:
@@ -137,9 +139,11 @@ def near_pairs(
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, pa.binary()) for c in (keys, texts, sigs))], ["id", "key", "text_key", "sig"])
 
     signed = materialize(rows.mapInArrow(sign, "id bigint, key binary, text_key binary, sig binary"), "signatures")
-    same_runs, same_text = Window.partitionBy("key"), Window.partitionBy("key", "text_key")
-    grouped = signed.select("id", F.min("id").over(same_runs).alias("rep"), F.count("*").over(same_runs).alias("n"), F.min("id").over(same_text).alias("first"), F.count("*").over(same_text).alias("copies"))
-    multi = materialize(grouped.where("n > 1").drop("n"), "copies")
+    # both counts combine before they shuffle, so copies of one text never gather in a task
+    by_text = signed.groupBy("key", "text_key").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
+    by_runs = by_text.groupBy("key").agg(F.min("first").alias("rep"), F.sum("copies").alias("n")).where("n > 1").drop("n")
+    same = materialize(by_runs.join(by_text, "key"), "classes")
+    multi = materialize(signed.select("id", "key", "text_key").join(same, ["key", "text_key"]).select("id", "rep", "first", "copies"), "copies")
     reps = signed.join(multi.where("id <> rep").select("id"), "id", "left_anti").select("id", "sig")
 
     mask = np.uint64((1 << counters_log2) - 1)
@@ -162,7 +166,7 @@ def near_pairs(
     table = np.zeros(int(mask) + 1, np.int32)
     counted = counts.toArrow()  # at most 2 ** counters_log2 rows
     table[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
-    usual = int(table.mean())  # postings that share a slot by chance
+    usual = 2 * int(table.mean())  # postings that share a slot by chance
     shared = passages.sparkSession.sparkContext.broadcast(table)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +178,7 @@ def near_pairs(
                 n = common[(s & mask).astype(np.int64)]
                 order = np.lexsort((s, n), axis=1)[:, :prefix]
                 s, n = np.take_along_axis(s, order, 1), np.take_along_axis(n, order, 1)
-                row, col = np.nonzero(n > 1)
+                row, col = np.nonzero(n > 1)  # a slot counted once is a list of one
                 s, n, ids = s[row, col], n[row, col].astype(np.int64), part.column(0).to_numpy()[row]
                 # a list of k * list_rows postings is k groups; a posting goes to the tiles of its group with each
                 k = np.maximum(1, -(-(n - usual) // list_rows))
@@ -211,21 +215,29 @@ def near_pairs(
     posted = reps.mapInArrow(post, "post bigint, id bigint, low binary").repartition("post").sortWithinPartitions("post")
     matched = materialize(posted.mapInArrow(meet, "a bigint, b bigint").distinct(), "matched")
 
-    @pandas_udf("boolean")
-    def similar(x, y):
-        import pandas as pd
-
-        keep = []
-        for s, t in zip(x, y):
-            u, v = runs(s, run_words), runs(t, run_words)
-            both = len(np.intersect1d(u, v, assume_unique=True))
-            keep.append(both >= similarity * (len(u) + len(v) - both))
-        return pd.Series(keep, dtype=bool)
-
-    needed = matched.select(F.col("a").alias("id")).union(matched.select("b")).distinct()
-    texts = materialize(among(rows, needed).join(needed, "id", "left_semi"), "texts")
-    text_a, text_b = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    linked = matched.join(text_a, "a").join(text_b, "b").where(similar("ta", "tb")).select("a", "b")
+    def run_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                sets = [runs(text, run_words).tobytes() for text in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["id", "runs"])
+
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                u, v = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
+                both = len(np.intersect1d(u, v, assume_unique=True))
+                keep.append(both >= similarity * (len(u) + len(v) - both))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+
+    needed = materialize(matched.select(F.col("a").alias("id")).union(matched.select("b")).distinct(), "needed")
+    likely, blocks = among(rows, needed)
+    sets = materialize(likely.join(needed, "id", "left_semi").mapInArrow(run_sets, "id bigint, runs binary"), "runs")
+    set_a, set_b = sets.select(F.col("id").alias("a"), F.col("runs").alias("ra")), sets.select(F.col("id").alias("b"), F.col("runs").alias("rb"))
+    linked = matched.join(set_a, "a").join(set_b, "b").select("a", "b", "ra", "rb").mapInArrow(similar, "a bigint, b bigint")
+    linked = materialize(linked, "linked")
+    discard(signed, same, matched, needed, blocks, sets)
 
     members = multi.where((F.col("copies") <= expand) | (F.col("id") == F.col("first")))
     member_a = members.select(F.col("rep").alias("a"), F.col("id").alias("ia"))
