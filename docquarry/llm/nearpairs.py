@@ -9,8 +9,8 @@ order, roughly by how common they are, two passages that agree in ``least`` of
 1`` of each, so only those are posted. Skip merging: a list of one member is
 passed over, and in a list a member is compared only with those after it.
 Postings of a long list are salted into tiles, so that every two of its
-members still meet in one. A posting carries the low byte of every coordinate,
-which two different values share once in 256 cases and equal ones always, so
+members still meet in one. A posting carries five bits of every coordinate,
+which two different values share once in 32 cases and equal ones always, so
 agreements are counted where postings meet, and the count misses none. Pairs
 above the match threshold are confirmed on the exact sets of word runs.
 """
@@ -54,18 +54,30 @@ def signature(run_hashes: np.ndarray, mult: np.ndarray) -> np.ndarray:
     return out
 
 
-def met_pairs(post: np.ndarray, ids: np.ndarray, low: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs a < b under one posting with at least ``least`` equal bytes; ``post`` is sorted, ``low`` has rows of 64-bit words."""
-    high, rest = np.uint64(0x8080808080808080), np.uint64(0x7F7F7F7F7F7F7F7F)
+WIDTH, FIELDS = 5, 12  # bits of a code, and codes in a 64-bit word
+TOPS = np.uint64(sum(1 << (WIDTH * i + WIDTH - 1) for i in range(FIELDS)))
+RESTS = np.uint64(sum(((1 << (WIDTH - 1)) - 1) << (WIDTH * i) for i in range(FIELDS)))
+
+
+def packed(sigs: np.ndarray) -> np.ndarray:
+    """The low bits of each coordinate, as rows of 64-bit words."""
+    words_of_row = -(-sigs.shape[1] // FIELDS)
+    codes = np.zeros((len(sigs), words_of_row * FIELDS), np.uint64)
+    codes[:, : sigs.shape[1]] = sigs & np.uint32((1 << WIDTH) - 1)
+    return np.bitwise_or.reduce(codes.reshape(len(sigs), words_of_row, FIELDS) << (np.arange(FIELDS, dtype=np.uint64) * np.uint64(WIDTH)), axis=2)
+
+
+def met_pairs(post: np.ndarray, ids: np.ndarray, codes: np.ndarray, unequal_most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs a < b under one posting with at most ``unequal_most`` unequal codes; ``post`` is sorted."""
     found = [np.zeros((0, 2), np.int64)]
     at, step = np.arange(len(post) - 1), 1
     while len(at):
         at = at[post[at] == post[at + step]]
         unequal = np.zeros(len(at), np.uint8)
-        for w in low.T:
+        for w in codes.T:
             x = w[at] ^ w[at + step]
-            unequal += np.bitwise_count((((x & rest) + rest) | x) & high)
-        hit = at[unequal <= 8 * low.shape[1] - least]
+            unequal += np.bitwise_count((((x & RESTS) + RESTS) | x) & TOPS)
+        hit = at[unequal <= unequal_most]
         found.append(np.stack([ids[hit], ids[hit + step]], axis=1))
         step += 1
         at = at[at + step < len(post)]
@@ -101,8 +113,8 @@ def near_pairs(
     text_col: str = "text",
     run_words: int = 3,
     similarity: float = 0.5,
-    coordinates: int = 28,
-    least: int = 6,
+    coordinates: int = 42,
+    least: int = 11,
     counters_log2: int = 18,
     list_rows: int = 2000,
     expand: int = 64,
@@ -121,7 +133,8 @@ def near_pairs(
     never the pairs. Only this table and bitmaps of a fixed size are broadcast.
     """
     prefix = coordinates - least + 1
-    padded = -(-coordinates // 8) * 8
+    # bytes of the codes, without those of the last word that hold none
+    code_bytes = (coordinates // FIELDS) * 8 + -(-(coordinates % FIELDS) * WIDTH // 8)
     rows = passages.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("text is not null and id is not null")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,22 +200,25 @@ def near_pairs(
                 other = np.arange(len(each)) - np.repeat(np.cumsum(k) - k, k)
                 tile = np.minimum(own[each], other) * k[each] + np.maximum(own[each], other)
                 key = s[each] ^ (tile.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
-                sig = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(-1, coordinates).astype(np.uint8)
-                low = pa.FixedSizeBinaryArray.from_buffers(pa.binary(coordinates), len(each), [None, pa.py_buffer(np.ascontiguousarray(sig[row[each]]))]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[each]), low], ["post", "id", "low"])
+                # 32 bits do: lists that share a key are only compared in vain
+                key = (key ^ (key >> np.uint64(29))).astype(np.uint32).view(np.int32)
+                sig = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(-1, coordinates)
+                codes = packed(sig).view(np.uint8).reshape(len(sig), -1)[:, :code_bytes]
+                codes = pa.FixedSizeBinaryArray.from_buffers(pa.binary(code_bytes), len(each), [None, pa.py_buffer(np.ascontiguousarray(codes[row[each]]))]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[each]), codes], ["post", "id", "codes"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs_of(kept: list) -> pa.RecordBatch:
-            posts, ids, low = (np.concatenate(c) for c in zip(*kept))
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in met_pairs(posts, ids, low.view(np.uint64), least + padded - coordinates)], ["a", "b"])
+            posts, ids, codes = (np.concatenate(c) for c in zip(*kept))
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in met_pairs(posts, ids, codes.view(np.uint64), coordinates - least)], ["a", "b"])
 
         kept, held = [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            low = np.zeros((batch.num_rows, padded), np.uint8)
-            low[:, :coordinates] = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, coordinates)
-            new = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), low)
+            codes = np.zeros((batch.num_rows, -(-code_bytes // 8) * 8), np.uint8)
+            codes[:, :code_bytes] = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, code_bytes)
+            new = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), codes)
             if held >= 100_000 and (cut := int(np.searchsorted(new[0], new[0][-1]))):
                 # all lists but the last have ended
                 yield pairs_of([*kept, tuple(c[:cut] for c in new)])
@@ -212,7 +228,7 @@ def near_pairs(
         if kept:
             yield pairs_of(kept)
 
-    posted = reps.mapInArrow(post, "post bigint, id bigint, low binary").repartition("post").sortWithinPartitions("post")
+    posted = reps.mapInArrow(post, "post int, id bigint, codes binary").repartition("post").sortWithinPartitions("post")
     matched = materialize(posted.mapInArrow(meet, "a bigint, b bigint").distinct(), "matched")
 
     def run_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,3 +263,14 @@ def near_pairs(
     star = multi.where((F.col("copies") > expand) & (F.col("id") != F.col("first"))).select(F.col("first").alias("x"), F.col("id").alias("y"))
     every = across.unionByName(within).unionByName(star)
     return every.select(F.least("x", "y").alias("chunk_id_a"), F.greatest("x", "y").alias("chunk_id_b"))
+
+
+def exact_copies(passages: DataFrame, *, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
+    """(chunk_id, copy_of) of every passage stored more than once: its id and the lowest id of its copies.
+
+    The membership that ``near_pairs`` leaves out for more than ``expand``
+    copies. Copies are counted before they join; null texts have none.
+    """
+    keyed = passages.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("chunk_id"), F.sha2(text_col, 256).alias("text_key"))
+    firsts = keyed.groupBy("text_key").agg(F.min("chunk_id").alias("copy_of"), F.count("*").alias("n")).where("n > 1")
+    return keyed.join(firsts, "text_key").select("chunk_id", "copy_of")
