@@ -2,19 +2,23 @@
 
 Look-alike classes are built by union-find over code points and strings:
 canonical compositions, wide and narrow forms, presentation ligatures, kinds
-of blank, and letters of different scripts with one shape. Each class is
-represented by its composed member that the corpus uses most, and texts are
-rewritten greedily, longest match first, by a multi-pattern automaton.
+of blank, and letters of different scripts with one shape. Texts are taken
+apart canonically, so a class holds for a letter with and without its accents.
+Each class is represented by the member that the corpus uses most, and texts
+are rewritten greedily, longest match first, by a multi-pattern automaton. No
+pattern holds a blank or a line feed, so words are rewritten each for itself,
+and a task rewrites a word it has met before by looking it up.
 """
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -22,16 +26,31 @@ from pyspark.sql import functions as F
 
 from docquarry.llm.materialize import materialize
 
-# Letters of other scripts by the Latin (or other) letters they look like.
+# Letters of one shape, by script: Latin letters and the letters that look like them.
 SAME_SHAPE = [
-    ("Aa", "Аа"), ("Bb", "В"), ("Cc", "Сс"), ("Ee", "Ее"), ("Hh", "Нһ"), ("Ii", "Іі"), ("Jj", "Јј"), ("Kk", "К"), ("Mm", "М"),
-    ("Oo", "Оо"), ("Pp", "Рр"), ("Ss", "Ѕѕ"), ("Tt", "Т"), ("Xx", "Хх"), ("y", "у"), ("d", "ԁ"), ("q", "ԛ"), ("w", "ԝ"), ("l", "ӏ"),
-    ("A", "Α"), ("B", "Β"), ("E", "Ε"), ("Z", "Ζ"), ("H", "Η"), ("I", "Ι"), ("K", "Κ"), ("M", "Μ"), ("N", "Ν"), ("O", "Ο"), ("P", "Ρ"),
-    ("T", "Τ"), ("Y", "Υ"), ("X", "Χ"), ("o", "ο"), ("v", "ν"), ("a", "ɑ"), ("g", "ɡ"), ("Y", "Ү"), ("µ", "μ"), ("j", "ϳ"),
+    # Cyrillic
+    ("ABCEHIJKMOPSTXYQWVG", "АВСЕНІЈКМОРЅТХҮԚԜѴԌ"), ("aceijopsxyhdqwlv", "асеіјорѕхуһԁԛԝӏѵ"), ("YIy", "УӀү"),
+    # Greek
+    ("ABEZHIKMNOPTYXC", "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹ"), ("aovpuycj", "αονρυγϲϳ"), ("µк", "μκ"), ("к", "ĸ"),
+    # Armenian
+    ("OUSLouhngjq", "ՕՍՏԼօսհոցյզ"),
+    # Cherokee
+    ("DRTAJEWMHYGZRWSVSLCPKB", "ᎠᎡᎢᎪᎫᎬᎳᎷᎻᎽᏀᏃᏒᏔᏕᏙᏚᏞᏟᏢᏦᏴ"),
+    # Lisu
+    ("BPDTGKJCZFMNLSRVHWXYAEIOU", "ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ"),
+    # Coptic
+    ("OCPXNMKHopc", "ⲞⲤⲢⲬⲚⲘⲔⲎⲟⲣⲥ"),
+    # other Latin letters
+    ("agcovwz", "ɑɡᴄᴏᴠᴡᴢ"),
 ]
+# Strings that look like one letter or mark.
+SAME_STRING = [("i", "i\u0307"), ("j", "j\u0307"), ("-", "\u2010"), ("-", "\u2011"), ("°C", "\u2103"), ("°F", "\u2109")]
 BLANK = "\t\v\f\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
-BREAKS = {"\r\n": "\n", "\r": "\n", "\u0085": "\n", "\u2028": "\n", "\u2029": "\n"}
+BREAKS = re.compile("\r\n|[\r\u0085\u2028\u2029]")
 HIDDEN_EXTRA = "\u034f\u115f\u1160\u17b4\u17b5\u3164\uffa0"
+#: Ranges of compatibility characters that look like their parts: Roman numerals, digraphs and ligatures.
+LIKE_PARTS = ((0x2160, 0x217F), (0xFB00, 0xFB06), (0xFB13, 0xFB17), (0x0132, 0x0133), (0x01C4, 0x01CC))
+MEMO_WORDS, MEMO_CHARS = 200_000, 64
 
 
 def hidden(c: str) -> bool:
@@ -59,56 +78,69 @@ class Classes:
             self.up[max(a, b)] = min(a, b)
 
 
+def apart(s: str) -> str:
+    return unicodedata.normalize("NFD", s)
+
+
 def build_classes() -> Classes:
+    """Classes of strings, each taken apart canonically."""
     found = Classes()
     for o in range(sys.maxunicode + 1):
         if 0xD800 <= o < 0xE000:
             continue
         c = chr(o)
         way = unicodedata.decomposition(c)
-        if not way:
-            continue
-        if way[0] != "<":
-            if not 0xAC00 <= o < 0xD7A4:
-                found.join(c, unicodedata.normalize("NFD", c))
-                found.join(c, unicodedata.normalize("NFC", c))
-        elif way.startswith(("<wide>", "<narrow>")) or 0xFB00 <= o <= 0xFB06 or way.startswith("<font>") or o in (0x2011, 0x2103, 0x2109):
-            found.join(c, "".join(chr(int(x, 16)) for x in way.split()[1:]))
+        if way.startswith(("<wide>", "<narrow>", "<font>")) or any(lo <= o <= hi for lo, hi in LIKE_PARTS):
+            found.join(apart(c), apart("".join(chr(int(x, 16)) for x in way.split()[1:])))
     for own, alike in SAME_SHAPE:
-        for a, b in zip(own, alike) if len(own) == len(alike) else [(own[0], alike)]:
-            found.join(a, b)
+        for x, y in zip(own, alike, strict=True):
+            found.join(apart(x), apart(y))
+    for x, y in SAME_STRING:
+        found.join(apart(x), apart(y))
     for c in BLANK:
         found.join(" ", c)
     return found
 
 
 def representatives(classes: Classes, counts: dict[str, int]) -> dict[str, str]:
-    """Each string of a class to its representative, but for representatives themselves."""
+    """Each string of a class to its representative, but for representatives themselves.
+
+    ``counts`` are those of stored code points; what they are made of counts.
+    """
+    parts: dict[str, int] = {}
+    for c, n in counts.items():
+        for x in apart(c):
+            parts[x] = parts.get(x, 0) + n
     groups: dict[str, list[str]] = {}
     for s in classes.up:
         groups.setdefault(classes.root(s), []).append(s)
     out = {}
     for members in groups.values():
-        composed = [m for m in members if unicodedata.normalize("NFC", m) == m] or members
-        rep = " " if " " in members else min(composed, key=lambda m: (-min(counts.get(c, 0) for c in m), len(m), m))
+        rep = " " if " " in members else min(members, key=lambda m: (-min(parts.get(c, 0) for c in m), len(m), m))
         out.update((m, rep) for m in members if m != rep)
     return out
 
 
-class Rewriter:
-    """Greedy leftmost-longest rewriting until nothing changes."""
+def hidden_code_points() -> list[str]:
+    return [chr(o) for o in range(sys.maxunicode + 1) if not 0xD800 <= o < 0xE000 and hidden(chr(o))]
+
+
+class Rewriter(dict):
+    """Greedy leftmost-longest rewriting until nothing changes; as a dict, the form of each word met."""
 
-    def __init__(self, rules: dict[str, str]) -> None:
+    def __init__(self, rules: dict[str, str], unseen: list[str]) -> None:
+        super().__init__()
         table = ahocorasick.Automaton()
         for a, b in rules.items():
             table.add_word(a, (len(a), b))
-        for a, b in BREAKS.items():
-            table.add_word(a, (len(a), b))
-        for o in range(sys.maxunicode + 1):
-            if not 0xD800 <= o < 0xE000 and hidden(chr(o)):
-                table.add_word(chr(o), (1, ""))
+        for c in unseen:
+            table.add_word(c, (1, ""))
         table.make_automaton()
         self.table = table
+        controls = "".join(c for c in (*unseen, *rules) if c.isascii() and len(c) == 1 and not c.isprintable())
+        self.controls = re.compile(f"[{re.escape(controls)}]") if controls else None
+        # whether printable ASCII can change at all
+        self.plain = not any(a.isascii() and a.isprintable() for a in rules)
 
     def once(self, text: str) -> str:
         out, at = [], 0
@@ -121,25 +153,53 @@ class Rewriter:
         out.append(text[at:])
         return "".join(out)
 
+    def settle(self, text: str) -> str:
+        """Rewritten until it stays; should rewriting ever go in a circle, its least member."""
+        met = []
+        while True:
+            text = apart(text)
+            if text in met:
+                return unicodedata.normalize("NFC", min(met[met.index(text) :]))
+            met.append(text)
+            text = self.once(text)
+            if text == met[-1]:
+                return unicodedata.normalize("NFC", text)
+
+    def __missing__(self, word: str) -> str:
+        form = self.settle(word)
+        if len(word) <= MEMO_CHARS:
+            if len(self) >= MEMO_WORDS:
+                self.clear()
+            self[word] = form
+        return form
+
     def __call__(self, text: str) -> str:
-        for _ in range(8):
-            new = self.once(unicodedata.normalize("NFC", text))
-            if new == text:
-                break
-            text = new
-        return "\n".join(" ".join(line.split(" ")).strip(" ") if "  " not in line else " ".join(x for x in line.split(" ") if x) for line in text.split("\n"))
+        text = BREAKS.sub("\n", text)
+        if self.controls is not None and self.controls.search(text):
+            text = self.controls.sub(lambda m: self[m.group()], text)
+        out = []
+        for line in text.split("\n"):
+            if not (self.plain and line.isascii()):
+                line = " ".join([w if w.isascii() and self.plain else self[w] for w in line.split(" ")])
+            if "  " in line or line[:1] == " " or line[-1:] == " ":
+                line = " ".join([w for w in line.split(" ") if w])
+            out.append(line)
+        return "\n".join(out)
 
 
 def count_code_points(documents: DataFrame, text_col: str = "text") -> dict[str, int]:
     """Occurrences of every code point in the corpus; at most one entry per code point of Unicode."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
+        total = np.zeros(sys.maxunicode + 1, np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    total.update(text)
-        yield pa.RecordBatch.from_arrays([pa.array([ord(c) for c in total], pa.int32()), pa.array(list(total.values()), pa.int64())], ["c", "n"])
+            for lo in range(0, batch.num_rows, 500):
+                texts = [t for t in batch.column(0).slice(lo, 500).to_pylist() if t]
+                codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+                part = np.bincount(codes)
+                total[: len(part)] += part
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["c", "n"])
 
     rows = documents.select(F.col(text_col).alias("text")).mapInArrow(tally, "c int, n bigint").groupBy("c").agg(F.sum("n").alias("n"))
     return {chr(r.c): r.n for r in rows.collect()}
@@ -148,21 +208,22 @@ def count_code_points(documents: DataFrame, text_col: str = "text") -> dict[str,
 def one_form(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, form, text_key, form_key, n_visible) of every row with a text.
 
-    ``form`` is the text in one consistent form; the keys are 128-bit hashes of
-    stored text and form. Null texts give no row, empty ones an empty form.
-    Code points of all texts are counted.
+    ``form`` is the text in one consistent form, composed canonically, with
+    single blanks; the keys are 128-bit hashes of stored text and form. Null
+    texts give no row, empty ones an empty form. Repeated rows and texts of any
+    length are rewritten each and whole; other columns are not read. Code
+    points of all texts are counted.
     """
     rules = representatives(build_classes(), ascii_first(count_code_points(documents, text_col)))
-    shared = documents.sparkSession.sparkContext.broadcast(rules)
+    shared = documents.sparkSession.sparkContext.broadcast((rules, hidden_code_points()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rewrite = Rewriter(shared.value)
+        rewrite = Rewriter(*shared.value)
         for batch in batches:
             cols: list[list] = [[], [], [], [], []]
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 form = rewrite(text)
-                seen = form.replace(" ", "").replace("\n", "")
-                row = (i, form, xxhash.xxh3_128_hexdigest(text.encode("utf-8", "surrogatepass")), xxhash.xxh3_128_hexdigest(form.strip("\n").encode("utf-8", "surrogatepass")), len(seen))
+                row = (i, form, xxhash.xxh3_128_hexdigest(text.encode("utf-8", "surrogatepass")), xxhash.xxh3_128_hexdigest(form.strip("\n").encode("utf-8", "surrogatepass")), len(form) - form.count(" ") - form.count("\n"))
                 for c, v in zip(cols, row):
                     c.append(v)
             kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32()]
@@ -177,17 +238,34 @@ def ascii_first(counts: dict[str, int]) -> dict[str, int]:
     return {chr(c): 1 for c in range(32, 127)} | counts
 
 
-def same_looking(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_visible: int = 40) -> DataFrame:
+def text_classes(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, class_id, copy_of) of every row with a text: the lowest doc_id with its form, and with its very text.
+
+    Both are found by aggregation before anything joins, so a class of any size
+    shuffles as one row a task.
+    """
+    keys = materialize(one_form(documents, id_col=id_col, text_col=text_col).select("doc_id", "text_key", "form_key"), "forms")
+    by_text = keys.groupBy("form_key", "text_key").agg(F.min("doc_id").alias("copy_of"))
+    by_form = by_text.groupBy("form_key").agg(F.min("copy_of").alias("class_id"))
+    return keys.join(by_text.join(by_form, "form_key"), ["form_key", "text_key"]).select("doc_id", "class_id", "copy_of")
+
+
+def same_looking(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_visible: int = 40, expand: int = 64) -> DataFrame:
     """(doc_id_a, doc_id_b), a < b: stored texts that differ and have one form.
 
     Texts with fewer than ``least_visible`` visible characters are left out;
-    equal stored texts are no pair. Only keys shuffle, never texts, and only
-    forms that two different texts share reach the join.
+    equal stored texts are no pair. Of more than ``expand`` copies of one text
+    only the lowest id is paired with other texts (``text_classes`` has the
+    rest as its copies), so output grows with the rows and no link between two
+    texts is lost. Only keys shuffle, never texts; copies are counted before
+    they join, and only forms that two different texts share reach the join.
     """
     keys = one_form(documents, id_col=id_col, text_col=text_col).where(F.col("n_visible") >= least_visible).select("doc_id", "text_key", "form_key")
     keys = materialize(keys, "forms")
-    shared = keys.groupBy("form_key").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi")).where("lo < hi").select("form_key")
-    kept = keys.join(shared, "form_key", "left_semi")
+    by_text = keys.groupBy("form_key", "text_key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+    shared = by_text.groupBy("form_key").agg(F.count("*").alias("n")).where("n > 1").select("form_key")
+    texts = materialize(by_text.join(shared, "form_key"), "texts")
+    kept = keys.join(texts, ["form_key", "text_key"]).where((F.col("copies") <= expand) | (F.col("doc_id") == F.col("first")))
     a = kept.select("form_key", F.col("doc_id").alias("doc_id_a"), F.col("text_key").alias("ta"))
     b = kept.select("form_key", F.col("doc_id").alias("doc_id_b"), F.col("text_key").alias("tb"))
     return a.join(b, "form_key").where("doc_id_a < doc_id_b and ta <> tb").select("doc_id_a", "doc_id_b")

@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 
 from docquarry.llm import furniture, leaks, lookalike, nearpairs, neighbours, pairs, split, tokenize
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+VOCABULARY = "byte_bpe_50k.tiktoken"
+
+
+def vocabulary(spark: SparkSession) -> str:
+    """Path of the vocabulary; the setting ``docquarry.tokenizers`` names its folder."""
+    return f"{spark.conf.get('docquarry.tokenizers', '/opt/tokenizers')}/{VOCABULARY}"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,6 +41,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return nearpairs.near_pairs(read(spark, d, "chunks"))
 
 
+def p4_copies(spark: SparkSession, d: str) -> DataFrame:
+    return nearpairs.exact_copies(read(spark, d, "chunks"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return furniture.repeated_lines(read(spark, d, "chunks"), read(spark, d, "documents"))
 
@@ -47,7 +56,7 @@ def p5_cleaned(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
-    return tokenize.encode_corpus(read(spark, d, "documents"), VOCABULARY)
+    return tokenize.encode_corpus(read(spark, d, "documents"), vocabulary(spark))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -62,8 +71,12 @@ def p8_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.one_form(read(spark, d, "documents")).select("doc_id", F.col("form"))
 
 
+def p8_classes(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.text_classes(read(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (p1_found, p2_found, p2_pieces, p3_found, p4_found, p5_found, p5_cleaned, p6_ids, p7_found, p8_found, p8_forms)
+    every = (p1_found, p2_found, p2_pieces, p3_found, p4_found, p4_copies, p5_found, p5_cleaned, p6_ids, p7_found, p8_found, p8_forms, p8_classes)
     return {f.__name__: f for f in every}
 
 
@@ -74,4 +87,5 @@ def oracle_sql() -> dict[str, str]:
                 regexp_split_to_array(regexp_replace(text, '([.!?;:])[\s\x0B\x1C-\x1F\x{85}\p{Z}]', '\1' || chr(10), 'g'), chr(10)),
                 lambda x: length(x))) > 1200 THEN 'forced' ELSE 'natural' END AS cut
             FROM chunks WHERE length(text) > 1200""",
+        "p4_copies": "SELECT chunk_id, min(chunk_id) OVER (PARTITION BY text) AS copy_of FROM chunks WHERE text IS NOT NULL QUALIFY count(*) OVER (PARTITION BY text) > 1",
     }

@@ -17,38 +17,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BOUNDARY = re.compile(r"\n|(?<=[.!?;:])\s")
+BLANK = re.compile(r"\s+")
 
 
-def atoms(text: str, limit: int) -> tuple[list[tuple[int, int, int]], bool]:
-    """(start, end, strength of the boundary at its end) of each segment; whether a stretch had to be cut.
+def atoms(text: str, limit: int, part: int) -> list[tuple[int, int, int]]:
+    """(start, end, strength of the boundary at its end) of each segment.
 
-    Strengths: 4 paragraph, 3 line, 2 sentence, 1 clause, 0 forced.
+    A stretch of at most ``limit`` characters is one segment; only a longer one
+    is cut, into parts of at most ``part``. Strengths: 4 paragraph, 3 line, 2
+    sentence, 1 clause, 0 forced.
     """
-    out, forced, at = [], False, 0
+    out, at = [], 0
     ends = [(m.start(), m.end()) for m in BOUNDARY.finditer(text)] + [(len(text), len(text))]
     for stop, end in ends:
         if end == at:
             continue
         if stop - at > limit:
-            forced = True
-        while end - at > limit:
-            # keep a blank inside the forced part where there is one
-            cut = max(text.rfind(" ", at + limit // 2, at + limit), text.rfind("\t", at + limit // 2, at + limit)) + 1 or at + limit
-            out.append((at, cut, 0))
-            at = cut
+            while end - at > part:
+                # keep a blank inside the forced part where there is one
+                cut = max(text.rfind(" ", at + part // 2, at + part), text.rfind("\t", at + part // 2, at + part)) + 1 or at + part
+                out.append((at, cut, 0))
+                at = cut
         if end > at:
             if stop < end and text[stop] == "\n":
                 strength = 4 if text[max(0, stop - 1) : stop] == "\n" or text[end : end + 1] == "\n" else 3
             else:
                 strength = 2 if text[max(0, stop - 1) : stop] in (".", "!", "?") else 1
+            if end - at > limit:
+                # the stretch fits, but not with its boundary, which opens the next segment
+                out.append((at, stop, strength))
+                at = stop
             out.append((at, end, strength))
             at = end
-    return out, forced
+    return out
+
+
+def lead_in(text: str, lo: int, start: int) -> int:
+    """Where between ``lo`` and ``start`` an overlap opens: after the first boundary there, else at the first word, else at ``lo``."""
+    if lo >= start or lo == 0:
+        return lo
+    found = BOUNDARY.search(text, lo - 1, start) or BLANK.search(text, lo - 1, start)
+    return found.end() if found and found.end() < start else lo
 
 
 def split_text(text: str, limit: int, overlap: int) -> tuple[list[tuple[int, int, int]], bool]:
     """(overlap start, start, end) of each piece, and whether a stretch was forced."""
-    segs, forced = atoms(text, limit - overlap)
+    segs = atoms(text, limit, limit - overlap)
     forced = any(b - a > limit for a, b in stretches(text))
     n = len(segs)
     start = [s for s, _, _ in segs]
@@ -78,7 +92,9 @@ def split_text(text: str, limit: int, overlap: int) -> tuple[list[tuple[int, int
             heapq.heappush(heap, (strength[h], e - start[h], h, e))
     pieces, i = [], 0
     while i < n:
-        pieces.append((max(0, start[i] - overlap) if i else 0, start[i], end[i]))
+        # the overlap comes from the piece before and shrinks where this one leaves it less room
+        room = min(overlap, limit - (end[i] - start[i]), start[i] - pieces[-1][0]) if pieces else 0
+        pieces.append((lead_in(text, start[i] - room, start[i]), start[i], end[i]))
         i = after[i]
     return pieces, forced
 
@@ -97,9 +113,11 @@ SCHEMA = "chunk_id bigint, piece_no int, start int, overlap int, text string, se
 def split_passages(chunks: DataFrame, *, limit: int = 1200, overlap: int = 200, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
     """The pieces of each passage longer than ``limit`` characters, in ``SCHEMA``.
 
-    Every piece has at most ``limit`` characters and later ones open with the
-    ``overlap`` characters before them; the parts without overlap join to the
-    whole text. ``cut`` is ``forced`` if a stretch without boundary is longer
+    Every piece has at most ``limit`` characters, and later ones open with up to
+    ``overlap`` characters that closed the one before, from a boundary or word
+    on where there is one; a stretch of more than ``limit - overlap`` and up to
+    ``limit`` characters stays whole and leaves its overlap less room. The parts
+    without overlap join to the whole text. ``cut`` is ``forced`` if a stretch without boundary is longer
     than ``limit``, else ``natural``. Null, empty and shorter texts give no
     rows; repeated rows are cut each; other columns are not read.
     """

@@ -1,10 +1,13 @@
+import functools
 import os
 
 import numpy as np
 import pytest
 
 from docquarry.llm import furniture, leaks, lookalike, nearpairs, neighbours, pairs, split, tokenize
-from docquarry.llm.queries import VOCABULARY
+from docquarry.llm.queries import VOCABULARY as NAME
+
+VOCABULARY = f"/opt/tokenizers/{NAME}"
 
 
 @pytest.mark.parametrize(
@@ -113,3 +116,56 @@ def test_forms_count_ascii_texts_too(spark):
     rows = [(i, english) for i in range(60)] + [(100 + i, "Когда сторона доходит до края, она поворачивает обратно") for i in range(10)]
     got = {r.doc_id: r.form for r in lookalike.one_form(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got[0] == english
+
+
+@functools.cache
+def rewriter(cyrillic):
+    counts = {chr(c): 10**6 for c in range(0x400, 0x460)} if cyrillic else {}
+    rules = lookalike.representatives(lookalike.build_classes(), lookalike.ascii_first(counts))
+    return lookalike.Rewriter(rules, lookalike.hidden_code_points())
+
+
+def test_look_alikes_never_join_ascii():
+    classes, groups = lookalike.build_classes(), {}
+    for s in classes.up:
+        groups.setdefault(classes.root(s), []).append(s)
+    for members in groups.values():
+        assert sum(len(m) == 1 and m.isascii() and m.isprintable() for m in members) <= 1, members
+
+
+@pytest.mark.parametrize("a,b,same", [
+    ("á", "а́", True), ("Iota Ⅳ", "Iota IV", True), ("ρUΥ", "pUY", True), ("ﬁn", "fin", True), ("a\r\nb", "a\nb", True), ("a  b", "a b", True),
+    ("x​y", "xy", True), ("０", "O", False), ("e", "é", False), ("A", "a", False), ("l", "I", False), ("ı", "i", False),
+])
+@pytest.mark.parametrize("cyrillic", [False, True])
+def test_forms_do_not_hang_on_the_representative(a, b, same, cyrillic):
+    rewrite = rewriter(cyrillic)
+    assert (rewrite(a) == rewrite(b)) == same
+
+
+def test_many_copies_stand_as_one_text(spark):
+    a = "The reset value of the register is kept until power goes down."
+    rows = [(i, a) for i in range(5)] + [(9, a.replace("a", "а")), (10, a.replace(" ", " ", 1))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {tuple(r) for r in lookalike.same_looking(df, expand=4).collect()} == {(0, 9), (0, 10), (9, 10)}
+    assert {tuple(r) for r in lookalike.text_classes(df).collect()} == {(i, 0, 0) for i in range(5)} | {(9, 0, 9), (10, 0, 10)}
+
+
+def test_a_stretch_that_fits_is_never_cut():
+    text = "One short one. Two short ones. Three of them here. " + "x" * 549 + " " + "y" * 550 + ". " + "More of it follows. " * 40
+    pieces, forced = split.split_text(text, 1200, 200)
+    assert not forced and "".join(text[s:e] for _, s, e in pieces) == text
+    assert all(e - o <= 1200 for o, _, e in pieces)
+    assert all(text[e - 1] == " " and text[e - 2] == "." for _, _, e in pieces[:-1])
+    exact = "A. " + "z" * 1200 + "\nB."
+    pieces, forced = split.split_text(exact, 1200, 200)
+    assert not forced and "z" * 1200 in [exact[s:e] for _, s, e in pieces]
+    assert all(exact[o:s] == exact[p[0] : p[2]][p[2] - p[0] - (s - o) :] for p, (o, s, _) in zip(pieces, pieces[1:]))
+
+
+def test_leaks_in_long_items_cut_into_parts(spark):
+    w = [f"w{i}" for i in range(300)]
+    docs = spark.createDataFrame([(at, " ".join(w[at : at + 12])) for at in range(0, 289)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, " ".join(w)), (8, "w1")], "item_id bigint, text string")
+    got = [tuple(r) for r in leaks.find_leaks(docs, items, part_words=20, block_chars=200).collect()]
+    assert sorted(got) == [(at, 7) for at in range(0, 289)]
