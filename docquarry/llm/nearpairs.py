@@ -86,8 +86,8 @@ def met_pairs(post: np.ndarray, ids: np.ndarray, codes: np.ndarray, unequal_most
     return pairs[:, 0], pairs[:, 1]
 
 
-def among(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``rows`` whose ``id`` may be one of ``ids``, all that are and few others, and the table this rests on.
+def marked(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with a column ``maybe``, true for every ``id`` in ``ids`` and few others, and the table this rests on.
 
     Hashed ids set bits of one bitmap of 16 to 32 bits an id, kept in blocks of
     4 KB; beyond 2 ** 26 ids it stays at 2 ** 30 bits, so at most 128 MB are
@@ -97,13 +97,13 @@ def among(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     n = ids.count()
     bits = 1 << min(30, max(15, (16 * n).bit_length()))
     place = F.pmod(F.xxhash64("id"), F.lit(bits)) + 1
-    marked = ids.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("block"))
-    blocks = materialize(marked.agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bitmap")), "bitmap")
+    held = ids.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("block"))
+    blocks = materialize(held.agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bitmap")), "bitmap")
     at = F.bitmap_bit_position("p").cast("int")
     byte = F.ascii(F.decode(F.substring(F.col("bitmap"), F.shiftright(at, 3) + 1, F.lit(1)), "ISO-8859-1"))
-    one_is_set = F.getbit(byte, at.bitwiseAND(7)) == 1
+    one_is_set = F.coalesce(F.getbit(byte, at.bitwiseAND(7)) == 1, F.lit(False))
     tried = rows.withColumn("p", place).withColumn("block", F.bitmap_bucket_number("p"))
-    return tried.join(F.broadcast(blocks), "block").where(one_is_set).select(*rows.columns), blocks
+    return tried.join(F.broadcast(blocks), "block", "left").select(*rows.columns, one_is_set.alias("maybe")), blocks
 
 
 def near_pairs(
@@ -152,12 +152,14 @@ def near_pairs(
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, pa.binary()) for c in (keys, texts, sigs))], ["id", "key", "text_key", "sig"])
 
     signed = materialize(rows.mapInArrow(sign, "id bigint, key binary, text_key binary, sig binary"), "signatures")
-    # both counts combine before they shuffle, so copies of one text never gather in a task
-    by_text = signed.groupBy("key", "text_key").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
-    by_runs = by_text.groupBy("key").agg(F.min("first").alias("rep"), F.sum("copies").alias("n")).where("n > 1").drop("n")
-    same = materialize(by_runs.join(by_text, "key"), "classes")
-    multi = materialize(signed.select("id", "key", "text_key").join(same, ["key", "text_key"]).select("id", "rep", "first", "copies"), "copies")
-    reps = signed.join(multi.where("id <> rep").select("id"), "id", "left_anti").select("id", "sig")
+    # counts combine before they shuffle, so copies of one text never gather in a task
+    by_runs = signed.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
+    alike = materialize(signed.select("id", "key", "text_key").join(by_runs, "key"), "classes")
+    by_text = alike.groupBy("key", "text_key").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
+    multi = materialize(alike.join(by_text, ["key", "text_key"]).select("id", "rep", "first", "copies"), "copies")
+    others = multi.where("id <> rep").select("id")
+    sigs, rep_blocks = marked(signed.select("id", "sig"), others)
+    reps = sigs.where("not maybe").drop("maybe").unionByName(sigs.where("maybe").drop("maybe").join(others, "id", "left_anti"))
 
     mask = np.uint64((1 << counters_log2) - 1)
 
@@ -231,29 +233,32 @@ def near_pairs(
     posted = reps.mapInArrow(post, "post int, id bigint, codes binary").repartition("post").sortWithinPartitions("post")
     matched = materialize(posted.mapInArrow(meet, "a bigint, b bigint").distinct(), "matched")
 
-    def run_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                sets = [runs(text, run_words).tobytes() for text in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["id", "runs"])
-
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, np.ndarray] = {}
+
+        def runs_of(text: str) -> np.ndarray:
+            if text not in known:
+                if len(known) >= 2000:
+                    known.clear()
+                known[text] = runs(text, run_words)
+            return known[text]
+
         for batch in batches:
             keep = []
             for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                u, v = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
+                u, v = runs_of(s), runs_of(t)
                 both = len(np.intersect1d(u, v, assume_unique=True))
                 keep.append(both >= similarity * (len(u) + len(v) - both))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
     needed = materialize(matched.select(F.col("a").alias("id")).union(matched.select("b")).distinct(), "needed")
-    likely, blocks = among(rows, needed)
-    sets = materialize(likely.join(needed, "id", "left_semi").mapInArrow(run_sets, "id bigint, runs binary"), "runs")
-    set_a, set_b = sets.select(F.col("id").alias("a"), F.col("runs").alias("ra")), sets.select(F.col("id").alias("b"), F.col("runs").alias("rb"))
-    linked = matched.join(set_a, "a").join(set_b, "b").select("a", "b", "ra", "rb").mapInArrow(similar, "a bigint, b bigint")
+    likely, blocks = marked(rows, needed)
+    # an inner join, as a semi join would be moved before the bitmap; ids are unique in needed
+    texts = materialize(likely.where("maybe").drop("maybe").join(needed, "id"), "texts")
+    text_a, text_b = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
+    linked = matched.join(text_a, "a").join(text_b, "b").select("a", "b", "ta", "tb").mapInArrow(similar, "a bigint, b bigint")
     linked = materialize(linked, "linked")
-    discard(signed, same, matched, needed, blocks, sets)
+    discard(signed, alike, matched, needed, rep_blocks, blocks, texts)
 
     members = multi.where((F.col("copies") <= expand) | (F.col("id") == F.col("first")))
     member_a = members.select(F.col("rep").alias("a"), F.col("id").alias("ia"))
