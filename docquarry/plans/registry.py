@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.functions.text import cited_ranks, identifiers, names, squeezed
+from docquarry.functions.text import cited_ranks, identifiers, names
 from docquarry.operators import catalog, evaluate, search
+from docquarry.plans import texts
 from docquarry.sources.tables import table
 
 ASK = {"q_id": "id", "q_text": "question", "id_col": "doc_id", "text_col": "text"}
@@ -86,14 +87,10 @@ def suggest_threshold(s: SparkSession, d: str) -> DataFrame:
 
 
 def cited(s: SparkSession, d: str) -> DataFrame:
-    ranks = table(s, d, "eval_results").select("result_id", F.explode(cited_ranks(F.col("answer"))).alias("cited_rank"))
+    ranks = table(s, d, "eval_results").select("result_id", F.explode(cited_ranks(F.col("answer"), 99)).alias("cited_rank"))
     return ranks.groupBy("cited_rank").agg(F.count("*").alias("n"))
 
 
-def normalize_question(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "eval_results").groupBy(squeezed(F.translate("question", "İ", "i")).alias("asked")).agg(F.count("*").alias("n"))
-
-
 def register_names(s: SparkSession, d: str) -> DataFrame:
     names = table(s, d, "chunks").select("chunk_id", F.explode(F.array_distinct(identifiers(F.col("text")))).alias("name"))
     return names.groupBy("name").agg(F.count("*").alias("n_chunks"))
@@ -107,9 +104,9 @@ def register_names_all(s: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         hybrid_search, bm25_topk, identifier_boost, vector_topk, build_terms, catalog_stats, incremental_plan, latest_files, duplicate_texts,
-        resume_missing, eval_summary, latency_stats, suggest_threshold, normalize_question, register_names, register_names_all, hybrid_passages, snapshot_actions, missing_chunks,
+        resume_missing, eval_summary, latency_stats, suggest_threshold, register_names, register_names_all, hybrid_passages, snapshot_actions, missing_chunks,
     )
-    return {f.__name__: f for f in every} | {"cited_ranks": cited}
+    return {f.__name__: f for f in every} | {"cited_ranks": cited} | texts.queries()
 
 
 WHOLE_NAMES = r"list_transform(list_filter(string_split_regex({0}, '[^\p{{L}}\p{{N}}_]+'), lambda w: regexp_full_match(w, '[A-Za-z][A-Za-z0-9]*(_[A-Za-z0-9]+)+')), lambda w: lower(w))"
@@ -193,7 +190,6 @@ def oracle_sql() -> dict[str, str]:
         "suggest_threshold": """SELECT CAST(floor(best_score / 0.05) AS BIGINT) AS bin, count(*) FILTER (answerable) AS n_answerable, count(*) FILTER (NOT answerable) AS n_other
             FROM eval_results WHERE best_score IS NOT NULL AND NOT isnan(best_score) GROUP BY 1""",
         "cited_ranks": r"WITH c AS (SELECT DISTINCT result_id, CAST(unnest(regexp_extract_all(answer, '\[([0-9]{1,3})\]', 1)) AS INT) AS cited_rank FROM eval_results) SELECT cited_rank, count(*) AS n FROM c GROUP BY 1",
-        "normalize_question": r"SELECT lower(trim(regexp_replace(replace(question, 'İ', 'i'), '[ \t\r\n]+', ' ', 'g'))) AS asked, count(*) AS n FROM eval_results GROUP BY 1",
         "register_names": f"WITH t AS (SELECT DISTINCT chunk_id, unnest({NAME.format('text')}) AS name FROM chunks) SELECT name, count(*) AS n_chunks FROM t GROUP BY name",
         "register_names_all": f"WITH t AS (SELECT DISTINCT chunk_id, unnest({WHOLE_NAMES.format('text')}) AS name FROM chunks) SELECT name, count(*) AS n_chunks FROM t GROUP BY name",
         "hybrid_passages": f"WITH {PASSAGES} SELECT qid, pid, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY r) AS INT) AS rank FROM un QUALIFY rank <= 5",
@@ -205,4 +201,4 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT * FROM n WHERE early) o FULL JOIN (SELECT * FROM n WHERE NOT early) w USING (source)""",
         "missing_chunks": """SELECT doc_id, source, chunk_index FROM (SELECT doc_id, source, CAST(unnest(range(n_chunks)) AS INT) AS chunk_index FROM documents) w
             WHERE NOT EXISTS (SELECT 1 FROM chunks c WHERE c.document_id = w.doc_id AND c.chunk_index = w.chunk_index)""",
-    }
+    } | texts.oracle_sql()
