@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docquarry.functions.text import cited_ranks, identifiers, names
 from docquarry.operators import catalog, evaluate, search
-from docquarry.plans import texts
+from docquarry.plans import searches, texts
 from docquarry.sources.tables import table
 
 ASK = {"q_id": "id", "q_text": "question", "id_col": "doc_id", "text_col": "text"}
@@ -19,14 +19,6 @@ def bm25_topk(s: SparkSession, d: str) -> DataFrame:
     return search.bm25(table(s, d, "eval_questions"), table(s, d, "documents"), **ASK)
 
 
-def identifier_boost(s: SparkSession, d: str) -> DataFrame:
-    return search.identifier_rank(table(s, d, "eval_questions"), table(s, d, "documents"), **ASK)
-
-
-def hybrid_search(s: SparkSession, d: str) -> DataFrame:
-    return search.fuse(bm25_topk(s, d), identifier_boost(s, d))
-
-
 def hybrid_passages(s: SparkSession, d: str) -> DataFrame:
     return search.hybrid_passages(table(s, d, "eval_questions"), table(s, d, "chunks"))
 
@@ -103,10 +95,10 @@ def register_names_all(s: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
-        hybrid_search, bm25_topk, identifier_boost, vector_topk, build_terms, catalog_stats, incremental_plan, latest_files, duplicate_texts,
+        bm25_topk, vector_topk, build_terms, catalog_stats, incremental_plan, latest_files, duplicate_texts,
         resume_missing, eval_summary, latency_stats, suggest_threshold, register_names, register_names_all, hybrid_passages, snapshot_actions, missing_chunks,
     )
-    return {f.__name__: f for f in every} | {"cited_ranks": cited} | texts.queries()
+    return {f.__name__: f for f in every} | {"cited_ranks": cited} | texts.queries() | searches.queries()
 
 
 WHOLE_NAMES = r"list_transform(list_filter(string_split_regex({0}, '[^\p{{L}}\p{{N}}_]+'), lambda w: regexp_full_match(w, '[A-Za-z][A-Za-z0-9]*(_[A-Za-z0-9]+)+')), lambda w: lower(w))"
@@ -122,12 +114,6 @@ BM25 = f"""
     sc AS (SELECT qid, pid, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / al))), 6) AS score
            FROM ask JOIN post USING (term) JOIN d USING (term) JOIN sz USING (pid), st GROUP BY ALL),
     bm AS (SELECT qid, pid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS rank FROM sc QUALIFY rank <= 10)"""
-IDENT = f"""
-    an AS (SELECT DISTINCT id AS qid, unnest({NAME.format('question')}) AS name FROM eval_questions),
-    hn AS (SELECT DISTINCT doc_id AS pid, unnest({NAME.format('text')}) AS name FROM documents),
-    isc AS (SELECT qid, pid, CAST(count(*) AS DOUBLE) AS score FROM an JOIN hn USING (name) GROUP BY ALL),
-    im AS (SELECT qid, pid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS rank FROM isc QUALIFY rank <= 10)"""
-
 HASHED = r"list_transform(list_filter(regexp_extract_all(lower(replace({0}, 'İ', 'i ')), '[a-z0-9]+'), lambda t: t <> ''), lambda t: md5(t))"
 STRIP = r"regexp_replace({0}, '^[\s\pZ\x0B\x1C-\x1F\x{{85}}]+|[\s\pZ\x0B\x1C-\x1F\x{{85}}]+$', '', 'g')"
 # BM25 over chunks under their headings, hashed vectors of 256 counts, both to 30, and the reference's boost by section
@@ -166,11 +152,6 @@ PASSAGES = f"""
 def oracle_sql() -> dict[str, str]:
     return {
         "bm25_topk": f"WITH {BM25} SELECT qid, pid, score, CAST(rank AS INT) AS rank FROM bm",
-        "identifier_boost": f"WITH {IDENT} SELECT qid, pid, score, CAST(rank AS INT) AS rank FROM im",
-        "hybrid_search": f"""WITH {BM25}, {IDENT},
-            u AS (SELECT qid, pid, rank FROM bm UNION ALL SELECT qid, pid, rank FROM im),
-            f AS (SELECT qid, pid, round(sum(1 / (60 + rank)), 9) AS score FROM u GROUP BY ALL)
-            SELECT qid, pid, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS INT) AS rank FROM f QUALIFY rank <= 5""",
         "vector_topk": """WITH s AS (SELECT q.vec_id AS qid, p.vec_id AS pid, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])), 6) AS score
             FROM embeddings q JOIN embeddings p ON q.vec_id % 50 = 0 AND p.vec_id <> q.vec_id)
             SELECT qid, pid, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS INT) AS rank FROM s QUALIFY rank <= 5""",
@@ -201,4 +182,4 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT * FROM n WHERE early) o FULL JOIN (SELECT * FROM n WHERE NOT early) w USING (source)""",
         "missing_chunks": """SELECT doc_id, source, chunk_index FROM (SELECT doc_id, source, CAST(unnest(range(n_chunks)) AS INT) AS chunk_index FROM documents) w
             WHERE NOT EXISTS (SELECT 1 FROM chunks c WHERE c.document_id = w.doc_id AND c.chunk_index = w.chunk_index)""",
-    } | texts.oracle_sql()
+    } | texts.oracle_sql() | searches.oracle_sql()
