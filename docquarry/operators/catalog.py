@@ -24,12 +24,10 @@ def latest_files(files: DataFrame) -> DataFrame:
     return files.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
 
 
-def incremental_plan(files: DataFrame, documents: DataFrame) -> DataFrame:
-    """By the documents' state alone, without content or settings (see ``snapshot_actions``), per source: ``skip`` if all its documents are complete, ``resume`` if some are not, ``add`` if it has none."""
-    wanted = files.where("source is not null").select("source").distinct()
-    have = documents.where("source is not null").groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("complete")).alias("done"))
-    act = F.when(F.col("n").isNull(), "add").when(F.col("done") < F.col("n"), "resume").otherwise("skip")
-    return wanted.join(have, "source", "left").select("source", act.alias("action"))
+def document_catalog(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(doc_id, source, complete, n_stored): every document with the number of its stored chunks, 0 of none."""
+    n = chunks.groupBy(F.col("document_id").alias("doc_id")).agg(F.count("*").alias("n_stored"))
+    return documents.select("doc_id", "source", "complete").join(n, "doc_id", "left").fillna(0, ["n_stored"])
 
 
 def snapshot_actions(stored: DataFrame, found: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docquarry.functions.text import identifiers, lowered, match_terms, name_variants, names, tokens
+from docquarry.functions.text import lowered, match_terms, name_variants, names, tokens
 from docquarry.operators.passages import citation, embedding_text, heading_path
 
 K1, B, RRF_K = 1.2, 0.75, 60
@@ -30,29 +30,15 @@ def top(scores: DataFrame, by: list, k: int) -> DataFrame:
 
 
 def bm25(questions: DataFrame, passages: DataFrame, *, q_id: str, q_text: str, id_col: str, text_col: str, k: int = 10) -> DataFrame:
-    """(qid, pid, score, rank): the ``k`` best passages of every question; ties go to the lower pid.
+    """(qid, pid, score, rank): the ``k`` best passages of every question by plain BM25 over all its words; ties go to the lower pid.
 
-    Null and empty texts hold no terms. Question terms are few, so passages
-    are filtered to them before any posting is joined.
+    Null and empty texts hold no terms. Passages are scored where they lie, as
+    in ``keyword_topk``.
     """
-    asked = questions.select(F.col(q_id).alias("qid"), F.explode(F.array_distinct(tokens(F.col(q_text)))).alias("term"))
-    sized = passages.select(F.col(id_col).alias("pid"), F.size(tokens(F.coalesce(F.col(text_col), F.lit("")))).alias("len"))
-    held = postings(passages, id_col, text_col).join(asked.select("term").distinct(), "term", "left_semi")
-    df = held.groupBy("term").agg(F.count("*").alias("df"))
-    stats = sized.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    weighted = held.join(df, "term").join(sized, "pid").crossJoin(F.broadcast(stats))  # stats is one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scores = asked.join(weighted.select("term", "pid", part.alias("part")), "term").groupBy("qid", "pid").agg(F.round(F.sum("part"), 6).alias("score"))
-    return top(scores, [F.desc("score"), "pid"], k)
-
-
-def identifier_rank(questions: DataFrame, passages: DataFrame, *, q_id: str, q_text: str, id_col: str, text_col: str, k: int = 10) -> DataFrame:
-    """(qid, pid, score, rank) by how many of the question's register names a passage holds."""
-    asked = questions.select(F.col(q_id).alias("qid"), F.explode(F.array_distinct(identifiers(F.col(q_text)))).alias("name"))
-    held = passages.select(F.col(id_col).alias("pid"), F.explode(F.array_distinct(identifiers(F.col(text_col)))).alias("name"))
-    scores = held.join(asked, "name").groupBy("qid", "pid").agg(F.count("*").cast("double").alias("score"))
-    return top(scores, [F.desc("score"), "pid"], k)
+    terms = F.transform(F.array_distinct(tokens(F.coalesce(F.col(q_text), F.lit("")))), lambda t: F.struct(t.alias("w"), F.lit(False).alias("p")))
+    rows = passages.select(F.col(id_col).cast("bigint").alias("pid"), F.lower(F.translate(F.coalesce(F.col(text_col), F.lit("")), "İ", " ")).alias("text"), F.lit(True).alias("wanted"))
+    asked = questions.select(F.col(q_id).alias("qid"), terms.alias("terms"))
+    return scored_topk(asked, rows, {"text": 1.0}, k=k, token="[a-z0-9_]+", idf=lambda n, df: np.log(1 + (n - df + 0.5) / (df + 0.5)))
 
 
 def fuse(*rankings: DataFrame, k: int = 5) -> DataFrame:
@@ -214,7 +200,6 @@ def nothing(questions: DataFrame, q_id: str) -> DataFrame:
 
 #: Weights of the fields of a chunk in keyword search.
 WEIGHTS = {"text": 1.0, "section": 2.0, "chapter": 0.5}
-TOKEN = re.compile(r"[^\W_]+")
 
 
 class Terms:
@@ -265,23 +250,36 @@ def keyword_topk(questions: DataFrame, chunks: DataFrame, *, q_id: str = "id", q
     once to count and once to score, and never shuffle: a task sends its counts
     per term and its ``k`` best per question.
     """
+    terms = F.transform(match_terms(F.col(q_text)), lambda t: F.struct(F.array_join(t["words"], " ").alias("w"), t["prefix"].alias("p")))
+    fields = [lowered(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in WEIGHTS]
+    rows = chunks.select(F.col(id_col).cast("bigint").alias("pid"), *fields, (F.coalesce(F.col("source").isin(sources), F.lit(False)) if sources else F.lit(True)).alias("wanted"))
+
+    def idf(n: float, df: np.ndarray) -> np.ndarray:
+        plain = np.log((n - df + 0.5) / (df + 0.5))
+        return np.where(plain > 0, plain, 1e-6)
+
+    return scored_topk(questions.select(F.col(q_id).alias("qid"), terms.alias("terms")), rows, WEIGHTS, k=k, token=r"[^\W_]+", idf=idf)
+
+
+def scored_topk(questions: DataFrame, rows: DataFrame, field_weights: dict[str, float], *, k: int, token: str, idf) -> DataFrame:
+    """(qid, pid, score, rank) of (qid, terms) against (pid, wanted, fields in lower case); see ``keyword_topk``."""
     if k < 1:
-        return nothing(questions, q_id)
-    asked = stated(questions, [F.col(q_id).alias("qid"), F.transform(match_terms(F.col(q_text)), lambda t: F.struct(F.array_join(t["words"], " ").alias("w"), t["prefix"].alias("p"))).alias("terms")], 20_000)
+        return nothing(questions, "qid")
+    asked = stated(questions, ["qid", "terms"], 20_000)
     qids = [r.qid for r in asked]
     numbers: dict[tuple, int] = {}
     held = np.array([(q, numbers.setdefault((tuple(t.w.split(" ")), t.p), len(numbers))) for q, r in enumerate(asked) for t in r.terms], np.int64).reshape(-1, 2)
     terms = list(numbers)
-    fields = list(WEIGHTS)
-    rows = chunks.select(F.col(id_col).cast("bigint").alias("pid"), *[lowered(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in fields], (F.col("source").isin(sources) if sources else F.lit(True)).alias("wanted"))
+    fields = list(field_weights)
+    split = re.compile(token)
 
     def counted(batch: pa.RecordBatch, look: Terms) -> Iterator[tuple[int, dict[int, float]]]:
         for values in zip(*(batch.column(c).to_pylist() for c in fields)):
             into: dict[int, float] = {}
             size = 0
-            for weight, value in zip(WEIGHTS.values(), values):
+            for weight, value in zip(field_weights.values(), values):
                 if value:
-                    tokens = TOKEN.findall(value)
+                    tokens = split.findall(value)
                     size += len(tokens)
                     look.count(tokens, weight, into)
             yield size, into
@@ -299,15 +297,13 @@ def keyword_topk(questions: DataFrame, chunks: DataFrame, *, q_id: str = "id", q
     counts = {r.term: r.n for r in rows.mapInArrow(tally, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     n, total = counts.get(-2, 0), counts.get(-1, 0)
     df = np.array([counts.get(i, 0) for i in range(len(terms))], np.float64)
-    idf = np.log((n - df + 0.5) / (df + 0.5))
-    idf = np.where(idf > 0, idf, 1e-6)
     mean = total / n if n else 1.0
     weights = np.zeros((len(qids), len(terms)))
     np.add.at(weights, (held[:, 0], held[:, 1]), 1.0)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look, top_rows = Terms(terms), TopRows(len(qids), k)
-        asks = weights * idf
+        asks = weights * idf(n, df)
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
@@ -325,7 +321,7 @@ def keyword_topk(questions: DataFrame, chunks: DataFrame, *, q_id: str = "id", q
 
     scored = rows.where("pid is not null").mapInArrow(best, "q int, pid bigint, score double").withColumnRenamed("q", "qid")
     found = top(scored, [F.desc("score"), "pid"], k).withColumnRenamed("qid", "q")
-    return labelled(found, questions, q_id, qids).select("qid", "pid", "score", "rank")
+    return labelled(found, questions, "qid", qids).select("qid", "pid", "score", "rank")
 
 
 def ranked_passages(questions: DataFrame, chunks: DataFrame, *, q_id: str = "id", q_text: str = "question", pool: int = 30, k: int = 4, hybrid: bool = True) -> DataFrame:

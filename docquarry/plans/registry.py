@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.functions.text import cited_ranks, identifiers, names
-from docquarry.operators import catalog, evaluate, search
-from docquarry.plans import searches, texts
+from docquarry.functions.text import identifiers, names
+from docquarry.operators import catalog, search
+from docquarry.plans import layouts, lifecycle, searches, texts
 from docquarry.sources.tables import table
 
 ASK = {"q_id": "id", "q_text": "question", "id_col": "doc_id", "text_col": "text"}
@@ -36,17 +36,9 @@ def catalog_stats(s: SparkSession, d: str) -> DataFrame:
     return catalog.catalog_stats(table(s, d, "documents"), table(s, d, "chunks"))
 
 
-def incremental_plan(s: SparkSession, d: str) -> DataFrame:
-    return catalog.incremental_plan(table(s, d, "source_files"), table(s, d, "documents"))
-
-
 def snapshot_actions(s: SparkSession, d: str) -> DataFrame:
     """The log up to the middle of its time is the stored snapshot, what was taken in after it the found one."""
-    files = table(s, d, "source_files")
-    half = files.agg(F.timestamp_micros(F.expr("(unix_micros(cast(min(ingested_at) as timestamp)) + unix_micros(cast(max(ingested_at) as timestamp))) div 2")).cast("timestamp_ntz").alias("half"))
-    split = files.crossJoin(F.broadcast(half))  # half is one row
-    at = F.col("ingested_at").cast("timestamp_ntz")
-    return catalog.snapshot_actions(catalog.newest_by_source(split.where(at <= F.col("half"))), catalog.newest_by_source(split.where(at > F.col("half"))))
+    return catalog.snapshot_actions(*lifecycle.halves(s, d))
 
 
 def missing_chunks(s: SparkSession, d: str) -> DataFrame:
@@ -61,28 +53,6 @@ def duplicate_texts(s: SparkSession, d: str) -> DataFrame:
     return catalog.duplicate_texts(table(s, d, "documents"))
 
 
-def resume_missing(s: SparkSession, d: str) -> DataFrame:
-    have = table(s, d, "chunks").select(F.col("document_id").alias("doc_id"))
-    return table(s, d, "documents").join(have, "doc_id", "left_anti").select("doc_id", "source")
-
-
-def eval_summary(s: SparkSession, d: str) -> DataFrame:
-    return evaluate.eval_summary(table(s, d, "eval_results"))
-
-
-def latency_stats(s: SparkSession, d: str) -> DataFrame:
-    return evaluate.latency_stats(table(s, d, "eval_results"))
-
-
-def suggest_threshold(s: SparkSession, d: str) -> DataFrame:
-    return evaluate.threshold_curve(table(s, d, "eval_results"))
-
-
-def cited(s: SparkSession, d: str) -> DataFrame:
-    ranks = table(s, d, "eval_results").select("result_id", F.explode(cited_ranks(F.col("answer"), 99)).alias("cited_rank"))
-    return ranks.groupBy("cited_rank").agg(F.count("*").alias("n"))
-
-
 def register_names(s: SparkSession, d: str) -> DataFrame:
     names = table(s, d, "chunks").select("chunk_id", F.explode(F.array_distinct(identifiers(F.col("text")))).alias("name"))
     return names.groupBy("name").agg(F.count("*").alias("n_chunks"))
@@ -94,11 +64,8 @@ def register_names_all(s: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (
-        bm25_topk, vector_topk, build_terms, catalog_stats, incremental_plan, latest_files, duplicate_texts,
-        resume_missing, eval_summary, latency_stats, suggest_threshold, register_names, register_names_all, hybrid_passages, snapshot_actions, missing_chunks,
-    )
-    return {f.__name__: f for f in every} | {"cited_ranks": cited} | texts.queries() | searches.queries()
+    every = (bm25_topk, vector_topk, build_terms, catalog_stats, latest_files, duplicate_texts, register_names, register_names_all, hybrid_passages, snapshot_actions, missing_chunks)
+    return {f.__name__: f for f in every} | texts.queries() | searches.queries() | lifecycle.queries() | layouts.queries()
 
 
 WHOLE_NAMES = r"list_transform(list_filter(string_split_regex({0}, '[^\p{{L}}\p{{N}}_]+'), lambda w: regexp_full_match(w, '[A-Za-z][A-Za-z0-9]*(_[A-Za-z0-9]+)+')), lambda w: lower(w))"
@@ -158,19 +125,9 @@ def oracle_sql() -> dict[str, str]:
         "build_terms": f"WITH t AS (SELECT doc_id, unnest({TOK.format('text')}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM t GROUP BY term",
         "catalog_stats": """SELECT source, count(*) AS n_docs, CAST(count(*) FILTER (complete) AS BIGINT) AS n_complete, CAST(coalesce(sum(c), 0) AS BIGINT) AS n_chunks, CAST(coalesce(sum(n_chars), 0) AS BIGINT) AS n_chars
             FROM documents LEFT JOIN (SELECT document_id, count(*) AS c FROM chunks GROUP BY 1) ON document_id = doc_id GROUP BY source""",
-        "incremental_plan": """SELECT f.source, CASE WHEN n IS NULL THEN 'add' WHEN done < n THEN 'resume' ELSE 'skip' END AS action
-            FROM (SELECT DISTINCT source FROM source_files WHERE source IS NOT NULL) f
-            LEFT JOIN (SELECT source, count(*) AS n, count(*) FILTER (complete) AS done FROM documents GROUP BY 1) USING (source)""",
         "latest_files": """SELECT file_id, source, sha256, n_chunks FROM source_files
             QUALIFY row_number() OVER (PARTITION BY source, sha256 ORDER BY ingested_at DESC NULLS LAST, reported_at DESC NULLS LAST, file_id DESC) = 1""",
         "duplicate_texts": "SELECT md5(text) AS text_hash, min(doc_id) AS first_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1",
-        "resume_missing": "SELECT doc_id, source FROM documents WHERE NOT EXISTS (SELECT 1 FROM chunks WHERE document_id = doc_id)",
-        "eval_summary": """SELECT run_id, count(*) AS n, round(avg(CAST(retrieval_hit AS INT)), 6) AS retrieval_hit_rate, round(avg(CAST(cited AS INT)), 6) AS cited_rate,
-            round(avg(CAST(declined AS INT)), 6) AS declined_rate, round(avg(CAST(correct AS INT)), 6) AS correct_rate FROM eval_results GROUP BY run_id""",
-        "latency_stats": "SELECT run_id, round(quantile_cont(total_s, 0.5), 6) AS p50_s, round(quantile_cont(total_s, 0.95), 6) AS p95_s, round(avg(total_s), 6) AS mean_s FROM eval_results GROUP BY run_id",
-        "suggest_threshold": """SELECT CAST(floor(best_score / 0.05) AS BIGINT) AS bin, count(*) FILTER (answerable) AS n_answerable, count(*) FILTER (NOT answerable) AS n_other
-            FROM eval_results WHERE best_score IS NOT NULL AND NOT isnan(best_score) GROUP BY 1""",
-        "cited_ranks": r"WITH c AS (SELECT DISTINCT result_id, CAST(unnest(regexp_extract_all(answer, '\[([0-9]{1,3})\]', 1)) AS INT) AS cited_rank FROM eval_results) SELECT cited_rank, count(*) AS n FROM c GROUP BY 1",
         "register_names": f"WITH t AS (SELECT DISTINCT chunk_id, unnest({NAME.format('text')}) AS name FROM chunks) SELECT name, count(*) AS n_chunks FROM t GROUP BY name",
         "register_names_all": f"WITH t AS (SELECT DISTINCT chunk_id, unnest({WHOLE_NAMES.format('text')}) AS name FROM chunks) SELECT name, count(*) AS n_chunks FROM t GROUP BY name",
         "hybrid_passages": f"WITH {PASSAGES} SELECT qid, pid, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY r) AS INT) AS rank FROM un QUALIFY rank <= 5",
@@ -182,4 +139,4 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT * FROM n WHERE early) o FULL JOIN (SELECT * FROM n WHERE NOT early) w USING (source)""",
         "missing_chunks": """SELECT doc_id, source, chunk_index FROM (SELECT doc_id, source, CAST(unnest(range(n_chunks)) AS INT) AS chunk_index FROM documents) w
             WHERE NOT EXISTS (SELECT 1 FROM chunks c WHERE c.document_id = w.doc_id AND c.chunk_index = w.chunk_index)""",
-    } | texts.oracle_sql() | searches.oracle_sql()
+    } | texts.oracle_sql() | searches.oracle_sql() | lifecycle.oracle_sql() | layouts.oracle_sql()

@@ -42,6 +42,13 @@ def bm25_filtered(s: SparkSession, d: str) -> DataFrame:
     return search.keyword_topk(table(s, d, "eval_questions"), table(s, d, "chunks").join(documents, "document_id", "left"), sources=["wiring.md", "rk6800.pdf"], k=10)
 
 
+def rrf_fusion(s: SparkSession, d: str) -> DataFrame:
+    """Keyword and vector ranks of each question in one, without boost; ties to the lower id."""
+    asked, chunks = table(s, d, "eval_questions"), table(s, d, "chunks")
+    vector = search.hash_topk(asked, search.with_headings(chunks), q_id="id", q_text="question", id_col="pid", text_col="full")
+    return search.fuse(search.keyword_topk(asked, chunks), vector, k=10)
+
+
 def hash_embed(s: SparkSession, d: str) -> DataFrame:
     return search.hash_buckets(table(s, d, "documents"), "doc_id", "text")
 
@@ -93,7 +100,7 @@ def eval_verdicts(s: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
-        hybrid_search, vector_only, identifier_boost, keyword_search, bm25_filtered, hash_embed, best_score, gate, vector_topk_filtered, labels,
+        hybrid_search, vector_only, identifier_boost, keyword_search, bm25_filtered, rrf_fusion, hash_embed, best_score, gate, vector_topk_filtered, labels,
         context_text, build_messages, extractive_answer, finalize_answers, eval_verdicts,
     )
     return {f.__name__: f for f in every}
@@ -175,6 +182,8 @@ def oracle_sql() -> dict[str, str]:
         "keyword_search": f"WITH {KEYWORDS} SELECT qid, pid, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS INT) AS rank FROM ks QUALIFY rank <= 30",
         "bm25_filtered": f"""WITH {KEYWORDS} SELECT qid, pid, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS INT) AS rank
             FROM ks JOIN kt USING (pid) JOIN documents ON doc_id = document_id WHERE source IN ('wiring.md', 'rk6800.pdf') QUALIFY rank <= 10""",
+        "rrf_fusion": f"""WITH {rank_sql(True)}, rf AS (SELECT qid, pid, round(fused, 9) AS score FROM fu)
+            SELECT qid, pid, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS INT) AS rank FROM rf QUALIFY rank <= 10""",
         "hash_embed": f"WITH h AS (SELECT doc_id, unnest({HASHED.format("coalesce(text, '')").replace("'i '", "'i'")}) AS h FROM documents) SELECT doc_id, CAST(('0x' || h[1:2]) AS INT) AS bucket, CAST(sum(CASE WHEN h[7] >= '8' THEN 1 ELSE -1 END) AS BIGINT) AS value FROM h GROUP BY ALL",
         "best_score": f"WITH {BEST} SELECT qid, best_score FROM be",
         "gate": f"WITH {BEST} SELECT qid, best_score, CASE WHEN best_score < 0.25 THEN '{answers.FALLBACK.replace("'", "''")}' END AS fallback FROM be",
