@@ -169,3 +169,41 @@ def test_leaks_in_long_items_cut_into_parts(spark):
     items = spark.createDataFrame([(7, " ".join(w)), (8, "w1")], "item_id bigint, text string")
     got = [tuple(r) for r in leaks.find_leaks(docs, items, part_words=20, block_chars=200).collect()]
     assert sorted(got) == [(at, 7) for at in range(0, 289)]
+
+
+@pytest.mark.parametrize("answer", [
+    "Sorry, that is outside what I can see here.", "I have no idea about this.", "This is beyond the scope of the manual.", "Nothing on that in the sources.",
+    "The files I was given never mention it.", "We could not find any details on that.", "Dazu steht in den Unterlagen nichts.", "Ich weiß es leider nicht.",
+    "Je ne sais pas.", "No lo sé.", "Bu soruyu yanıtlayamıyorum.", "That is outside of what I can answer. Please ask the vendor.",
+])
+def test_refusals_in_any_wording(answer):
+    assert pairs.defect("What limits the clock of the unit?", answer) == "refusal"
+
+
+@pytest.mark.parametrize("answer", [
+    'It has a 5" display and a lamp.', "PF0 is not in the provided pinout; on the large package it is pin 133.", "Use <b>this</b> bit and **that** one.", "No.", "It is never set.",
+    "1. Set it\n2. Then wait", "See (a), [b] and «c».", "Do not set it while the clock is running.", "It is the 3. pin of the row",
+])
+def test_sound_answers(answer):
+    assert pairs.defect("What limits the clock of the unit?", answer) is None
+
+
+@pytest.mark.parametrize("answer,kind", [
+    ("La velocità massima è limitata e non si può cambiare.", "language"), ("De klok is beperkt en kan niet worden gewijzigd.", "language"), ("クロックは制限されています。", "language"),
+    ("The value is **0xAC", "truncated"), ("Set <b>it", "truncated"), ("1. Set it.\n2.", "truncated"), ("He said “wait", "truncated"),
+    ("What limits the clock? What limits the clock of the unit?", "copy"), ("Limits what unit the clock of", None),
+])
+def test_other_defects(answer, kind):
+    assert pairs.defect("What limits the clock of the unit?", answer) == kind
+
+
+def test_tiles_are_the_longest_first():
+    assert pairs.tiles("a b c d".split(), "b c a b c".split()) == [0, 0, 3, 3, 3]
+    assert pairs.tiles("a b".split(), "a b a b".split()) == [2, 2, 0, 0]
+
+
+def test_broken_pairs_over_a_table(spark):
+    rows = [(1, "What is it?", None, True), (2, None, "It is 5.", False), (3, "What is it?", "what is it", None), (3, "What is it?", "what is it", None)]
+    df = spark.createDataFrame(rows, "result_id long, question string, answer string, declined boolean")
+    assert sorted(map(tuple, pairs.broken_pairs(df).collect())) == [(1, "empty"), (3, "copy"), (3, "copy")]
+    assert pairs.broken_pairs(df.limit(0)).collect() == []
