@@ -219,7 +219,7 @@ def copied(question_words: list[str], answer: str) -> bool:
         done = next((k for k, n in enumerate(cover) if not n), len(part))
         runs += sum(n >= 2 for n in cover[:done])
         at += done
-    return runs >= 0.5 * len(a)
+    return runs >= 0.6 * len(a)
 
 
 # --- language
