@@ -1,9 +1,13 @@
 """The most similar vectors of every vector.
 
-NN-descent: a neighbour graph is improved by comparing the neighbours of
-neighbours, each round one Spark join of the graph with itself. The graph
-starts from passes over the vectors in order of a random hyperplane code and a
-random projection, in which each is compared with those near it in blocks.
+NN-descent on codes: a vector is coded by the sides of random hyperplanes it
+lies on, and two codes differ in more places the wider the angle. A graph holds
+of every vector the nearest codes found so far. It starts from passes over the
+codes in order of some of their bits, in which each is compared with those near
+it in a block. Each round then compares the neighbours that a vector's list
+holds with one another, as neighbours of a neighbour are likely neighbours,
+adds one pass in another order, and keeps the best, until a round adds few
+edges. Edges whose codes are close enough are scored by their exact cosine.
 """
 
 from __future__ import annotations
@@ -16,7 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docquarry.llm.materialize import materialize
+from docquarry.llm.materialize import discard, materialize
+from docquarry.llm.nearpairs import marked
+
+BITS = 128  # of a code
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str, dim_col: str) -> DataFrame:
@@ -43,65 +50,136 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str, dim_col: str) -> Da
     return rows.where("id is not null and e is not null and dim is not null and size(e) = dim").mapInArrow(unit, "id bigint, dim int, v binary")
 
 
-def one_pass(units: DataFrame, seed: int, k: int, floor: float, block: int, bits: int) -> DataFrame:
-    """Edges (a, b, sim), both ways, found by comparing vectors near each other in one random order."""
+def coded(units: DataFrame, seed: int) -> DataFrame:
+    """(id, dim, code): which side of ``BITS`` random hyperplanes each unit vector lies on."""
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes: dict[int, np.ndarray] = {}
         for batch in batches:
             dims = batch.column(1).to_numpy()
             raw = batch.column(2).to_pylist()
-            key = np.zeros(len(raw), np.int64)
+            out: list[bytes] = [b""] * len(raw)
             for d in np.unique(dims).tolist():
+                if d not in planes:
+                    planes[d] = np.random.default_rng([seed, d]).normal(size=(d, BITS)).astype(np.float32)
                 at = np.flatnonzero(dims == d)
                 m = np.frombuffer(b"".join(raw[i] for i in at), np.float32).reshape(-1, d)
-                planes = np.random.default_rng([seed, d]).normal(size=(d, bits + 1)).astype(np.float32)
-                p = m @ planes
-                c = np.zeros(len(at), np.int64)
-                for j in range(bits):
-                    c = c * 2 + (p[:, j] > 0)
-                key[at] = (c << 20) + np.clip((p[:, bits] + 4) * (1 << 17), 0, (1 << 20) - 1).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key)], ["id", "dim", "v", "key"])
+                packed = np.packbits(m @ planes[d] > 0, axis=1)
+                for i, row in zip(at.tolist(), packed):
+                    out[i] = row.tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["id", "dim", "code"])
+
+    return units.mapInArrow(code, "id bigint, dim int, code binary")
+
+
+def words64(codes: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(codes.to_pylist()), np.uint64).reshape(-1, BITS // 64)
 
-    ordered = units.mapInArrow(code, "id bigint, dim int, v binary, key bigint").repartitionByRange("dim", "key", "id").sortWithinPartitions("dim", "key", "id")
+
+def closest(dist: np.ndarray, most: int) -> np.ndarray:
+    """Per row of the last axis the places of its ``most`` smallest values."""
+    most = min(most, dist.shape[-1])
+    return np.argpartition(dist, most - 1, axis=-1)[..., :most]
+
+
+def one_pass(codes: DataFrame, number: int, k: int, block: int) -> DataFrame:
+    """Candidates (a, b, d) found by comparing codes near each other in one order, those that are nearer than ``a``'s ``worst``.
+
+    The order is that of 63 bits of the code from another place in each pass.
+    Blocks overlap by a quarter and never mix dims; a block of equal codes is
+    as long as any other.
+    """
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.unpackbits(np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, BITS // 8), axis=1)
+            first = np.roll(bits, -37 * number, axis=1)[:, :63]
+            keys = np.packbits(np.concatenate([np.zeros((len(bits), 1), np.uint8), first], axis=1), axis=1).view(">i8")[:, 0].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys)], ["id", "dim", "code", "worst", "key"])
+
+    cols = "id bigint, dim int, code binary, worst int"
+    ordered = codes.select("id", "dim", "code", "worst").mapInArrow(key, f"{cols}, key bigint").repartitionByRange("dim", "key", "id").sortWithinPartitions("dim", "key", "id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, bytes]] = []
-        dim = None
-
-        def edges() -> pa.RecordBatch:
-            ids = np.array([i for i, _ in held], np.int64)
-            m = np.frombuffer(b"".join(v for _, v in held), np.float32).reshape(-1, dim)
-            a, b, s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
-            for lo in range(0, len(ids), 512):
-                sim = m[lo : lo + 512] @ m.T
-                sim[np.arange(len(sim)), np.arange(lo, lo + len(sim))] = -2
-                kk = min(k, len(ids) - 1)
-                best = np.argpartition(-sim, kk - 1, axis=1)[:, :kk]
-                top = np.take_along_axis(sim, best, axis=1)
-                r, c = np.nonzero(top >= floor)
-                a.append(ids[lo + r])
-                b.append(ids[best[r, c]])
-                s.append(top[r, c])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b, s)], ["a", "b", "sim"])
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros((0, BITS // 64), np.uint64), np.zeros(0, np.int32)]
+
+        def edges(ids: np.ndarray, code: np.ndarray, worst: np.ndarray) -> pa.RecordBatch:
+            dist = np.bitwise_count(code[:, None] ^ code[None]).sum(axis=2, dtype=np.int16)
+            np.fill_diagonal(dist, BITS + 1)
+            best = closest(dist, k)
+            d = np.take_along_axis(dist, best, axis=1)
+            row, col = np.nonzero(d < np.minimum(worst, BITS + 1)[:, None])
+            return pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(ids[best[row, col]]), pa.array(d[row, col].astype(np.int16))], ["a", "b", "d"])
+
+        def cut(final: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            while len(held[0]) and (final or len(held[0]) >= 2 * block):
+                same = int(np.searchsorted(held[1], held[1][0], side="right"))  # rows of the first dim
+                if same < block and not final and same == len(held[0]):
+                    return
+                n = min(block, same)
+                if n > 1:
+                    yield edges(held[0][:n], held[2][:n], held[3][:n])
+                go_on = n if n == same else n - block // 4
+                held = [x[go_on:] for x in held]
 
         for batch in batches:
-            for i, d, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if d != dim or len(held) >= block:
-                    if len(held) > 1:
-                        yield edges()
-                    held = held[-block // 4 :] if d == dim else []
-                    dim = d
-                held.append((i, v))
-        if len(held) > 1:
-            yield edges()
+            if batch.num_rows:
+                new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), words64(batch.column(2)), batch.column(3).to_numpy()]
+                held = [np.concatenate(x) for x in zip(held, new)]
+                yield from cut(False)
+        yield from cut(True)
 
-    return ordered.select("id", "dim", "v").mapInArrow(compare, "a bigint, b bigint, sim float")
+    return ordered.select("id", "dim", "code", "worst").mapInArrow(compare, "a bigint, b bigint, d smallint")
 
 
-def best_edges(edges: DataFrame, k: int) -> DataFrame:
-    """Of each vector the ``k`` most similar, ties to the lower id."""
-    w = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
-    return edges.groupBy("a", "b").agg(F.max("sim").alias("sim")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
+def local_join(graph: DataFrame, codes: DataFrame, number: int, k: int, share: float) -> DataFrame:
+    """Candidates (a, b, d): members of one list compared with one another, of which one is new, those that are nearer than ``a``'s ``worst``.
+
+    Only lists of a ``share`` of all vectors, others in each round, are joined.
+    A list has at most ``k`` members, so no group grows with the data.
+    """
+    chosen = F.pmod(F.xxhash64("a", F.lit(number)), F.lit(1000)) < int(1000 * share)
+    lists = graph.where(chosen).select(F.col("a").alias("v"), F.explode("nb").alias("n")).select("v", F.col("n.b").alias("id"), (F.col("n.r") >= number - 1).alias("new"))
+    entries = lists.join(codes.select("id", "code", "worst"), "id").repartition("v").sortWithinPartitions("v").select("v", "id", "new", "code", "worst")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(v, ids, new, code, worst) -> Iterator[pa.RecordBatch]:
+            starts = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
+            group = np.cumsum(np.r_[False, v[1:] != v[:-1]])
+            place = np.full((len(starts), k), -1)
+            place[group, np.arange(len(v)) - starts[group]] = np.arange(len(v))
+            for lo in range(0, len(place), 4000):
+                at = place[lo : lo + 4000]
+                dist = np.bitwise_count(code[at][:, :, None] ^ code[at][:, None]).sum(axis=3, dtype=np.int16)
+                none = at < 0
+                dist[none[:, :, None] | none[:, None, :] | ~(new[at][:, :, None] | new[at][:, None, :])] = BITS + 1
+                dist[:, np.arange(k), np.arange(k)] = BITS + 1
+                best = closest(dist, 2)
+                d = np.take_along_axis(dist, best, axis=2)
+                g, i, j = np.nonzero(d < np.minimum(worst[at], BITS + 1)[:, :, None])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at[g, i]]), pa.array(ids[at[g, best[g, i, j]]]), pa.array(d[g, i, j])], ["a", "b", "d"])
+
+        held: list[np.ndarray] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False).astype(bool), words64(batch.column(3)), batch.column(4).to_numpy()]
+            held = [np.concatenate(x) for x in zip(held, cols)] if held else cols
+            end = int(np.searchsorted(held[0], held[0][-1]))  # the last list may go on
+            if end:
+                yield from pairs(*(x[:end] for x in held))
+                held = [x[end:] for x in held]
+        if held:
+            yield from pairs(*held)
+
+    return entries.mapInArrow(meet, "a bigint, b bigint, d smallint")
+
+
+def nearest(edges: DataFrame, k: int) -> DataFrame:
+    """(a, nb): of edges (a, b, d, r) the ``k`` nearest of each vector, ties to the lower id; an edge found again keeps its first round."""
+    one = edges.repartition("a").groupBy("a", "b").agg(F.min("d").alias("d"), F.min("r").alias("r"))
+    return one.groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "b", "r"))), 1, k).alias("nb"))
 
 
 def scored(pairs: DataFrame, units: DataFrame) -> DataFrame:
@@ -119,37 +197,69 @@ def scored(pairs: DataFrame, units: DataFrame) -> DataFrame:
 
 def neighbour_graph(
     vectors: DataFrame, *, id_col: str = "chunk_id", vector_col: str = "embedding", dim_col: str = "dim",
-    k: int = 10, passes: int = 3, rounds: int = 1, floor: float = 0.8, block: int = 4096, bits: int = 8,
+    k: int = 8, passes: int = 2, block: int = 256, share: float = 0.5, near: int = BITS, settled: float = 0.02, rounds: int | None = None, seed: int = 7,
 ) -> DataFrame:
-    """Edges (a, b, sim) of an approximate ``k``-nearest-neighbour graph, kept where the cosine is at least ``floor``.
+    """Edges (a, b, sim) of an approximate ``k``-nearest-neighbour graph, both ways, with their exact cosine.
 
-    Each round proposes, for every vector, the neighbours of its neighbours
-    (at most ``k * k``) that are not yet its own, and keeps the best ``k``.
-    Null, empty, zero and non-finite vectors and those of another length than
-    their ``dim`` are no part of it; equal vectors are neighbours with cosine 1.
+    Rounds go on until one adds less than the share ``settled`` of all edges
+    whose codes differ in at most ``near`` places (a number of ``rounds`` may be
+    given instead, for measuring); only such edges come out. Codes of two
+    vectors at an angle of x degrees differ in ``BITS`` * x / 180 places on
+    average. Null, empty, zero and non-finite vectors and those of another
+    length than their ``dim`` are no part of it, only vectors of equal ``dim``
+    are compared, and equal vectors are neighbours with cosine 1.
     """
-    units = materialize(usable(vectors, id_col, vector_col, dim_col), "units")
-    edges = None
-    for p in range(passes):
-        found = one_pass(units, 7 + p, k, floor, block, bits)
-        edges = found if edges is None else edges.unionByName(found)
-    graph = materialize(best_edges(edges, k), "graph")
-    for r in range(rounds):
-        out = graph.select("a", "b")
-        either = out.union(out.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        w = Window.partitionBy("a").orderBy(F.xxhash64("b", F.lit(r)))
-        near = either.distinct().withColumn("r", F.row_number().over(w)).where(F.col("r") <= 2 * k).select("a", "b")
-        left, right = near.select(F.col("a").alias("m"), F.col("b").alias("a")), near.select(F.col("a").alias("m"), "b")
-        proposed = left.join(right, "m").where("a < b").select("a", "b").distinct()
-        known = out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        fresh = scored(proposed.join(known, ["a", "b"], "left_anti"), units).where(F.col("sim") >= floor)
-        fresh = materialize(fresh, "fresh")
-        both = fresh.union(fresh.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
-        graph = materialize(best_edges(graph.unionByName(both), k), "graph")
-    return graph
-
-
-def similar_vectors(vectors: DataFrame, *, k: int = 5, least: float = 0.90, **settings) -> DataFrame:
-    """(chunk_id_a, chunk_id_b), a < b: one is among the other's ``k`` most similar and the cosine is at least ``least``."""
-    top = best_edges(neighbour_graph(vectors, **settings), k).where(F.col("sim") >= F.lit(least - 1e-6))
+    codes = materialize(coded(usable(vectors, id_col, vector_col, dim_col), seed), "codes")
+    fresh = F.lit(BITS + 1)
+    start = codes.withColumn("worst", fresh)
+    edges = one_pass(start, 0, k, block)
+    for p in range(1, passes):
+        edges = edges.unionByName(one_pass(start, p, k, block))
+    graph = materialize(nearest(edges.withColumn("r", F.lit(0)), k), "graph")
+
+    def close(r: int) -> tuple[int, int]:
+        held = graph.select(F.explode("nb").alias("n")).where(F.col("n.d") <= near)
+        n = held.agg(F.count("*").alias("all"), F.count_if(F.col("n.r") == r).alias("new")).first()
+        return n["all"], n["new"]
+
+    r = 0
+    while rounds is None or r < rounds:
+        r += 1
+        worst = graph.select(F.col("a").alias("id"), F.when(F.size("nb") < k, fresh).otherwise(F.get("nb", F.lit(k - 1))["d"]).cast("int").alias("worst"))
+        known = materialize(codes.join(worst, "id", "left").fillna(BITS + 1, ["worst"]), "known")
+        found = local_join(graph, known, r, k, share).unionByName(one_pass(known, passes + r - 1, k, block))
+        old = graph.select("a", F.explode("nb").alias("n")).select("a", "n.b", "n.d", "n.r")
+        newer = materialize(nearest(old.unionByName(found.withColumn("r", F.lit(r))), k), "graph")
+        discard(graph, known)
+        graph = newer
+        every, new = close(r)
+        if rounds is None and new <= settled * every:
+            break
+    discard(codes)
+    # a last join of near neighbours of near neighbours, scored exactly; at most k * k pairs a vector
+    lists = graph.select("a", F.filter("nb", lambda n: n["d"] <= near)["b"].alias("nb")).where(F.size("nb") > 0)
+    first, second = lists.select("a", F.explode("nb").alias("b")), lists.select("nb", F.explode("nb").alias("a"))
+    through = second.select("a", F.explode("nb").alias("b"))
+    pairs = first.unionByName(through).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = materialize(pairs, "pairs")
+    wanted = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")
+    likely, blocks = marked(vectors.withColumnRenamed(id_col, "id").select("id", vector_col, dim_col), wanted)
+    held = likely.where("maybe").drop("maybe").join(wanted, "id")
+    units = materialize(usable(held, "id", vector_col, dim_col), "units")
+    sims = materialize(scored(pairs, units).where("sim >= -1"), "sims")
+    discard(graph, pairs, wanted, blocks, units)
+    return sims.unionByName(sims.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
+
+
+def similar_vectors(vectors: DataFrame, *, k: int = 5, least: float = 0.90, list_size: int = 8, **settings) -> DataFrame:
+    """(chunk_id_a, chunk_id_b), a < b: one is among the other's ``k`` most similar and the cosine is at least ``least``.
+
+    Edges are scored whose codes differ in no more places than those of two
+    vectors of cosine ``least`` do but for a chance of about 1 in 500.
+    """
+    angle = float(np.arccos(least) / np.pi)
+    near = int(np.ceil(BITS * angle + 2.9 * np.sqrt(BITS * angle * (1 - angle))))
+    graph = neighbour_graph(vectors, **({"k": max(k, list_size), "near": near} | settings))
+    w = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
+    top = graph.where(F.col("sim") >= F.lit(least - 1e-6)).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
     return top.select(F.least("a", "b").alias("chunk_id_a"), F.greatest("a", "b").alias("chunk_id_b")).distinct()
