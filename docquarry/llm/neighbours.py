@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 from docquarry.llm.materialize import discard, materialize
 from docquarry.llm.nearpairs import marked
 
-BITS = 128  # of a code
+BITS = 192  # of a code
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str, dim_col: str) -> DataFrame:
@@ -197,15 +197,15 @@ def scored(pairs: DataFrame, units: DataFrame) -> DataFrame:
 
 def neighbour_graph(
     vectors: DataFrame, *, id_col: str = "chunk_id", vector_col: str = "embedding", dim_col: str = "dim",
-    k: int = 8, passes: int = 2, block: int = 256, share: float = 0.5, near: int = BITS, settled: float = 0.02, rounds: int | None = None, seed: int = 7,
+    k: int = 8, passes: int = 2, block: int = 256, share: float = 0.5, near: int = BITS, core: int = BITS, settled: float = 0.02, rounds: int | None = None, seed: int = 7,
 ) -> DataFrame:
     """Edges (a, b, sim) of an approximate ``k``-nearest-neighbour graph, both ways, with their exact cosine.
 
     Rounds go on until one adds less than the share ``settled`` of all edges
-    whose codes differ in at most ``near`` places (a number of ``rounds`` may be
-    given instead, for measuring); only such edges come out. Codes of two
-    vectors at an angle of x degrees differ in ``BITS`` * x / 180 places on
-    average. Null, empty, zero and non-finite vectors and those of another
+    whose codes differ in at most ``core`` places (a number of ``rounds`` may be
+    given instead, for measuring); edges come out whose codes differ in at most
+    ``near`` places. Codes of two vectors at an angle of x degrees differ in
+    ``BITS`` * x / 180 places on average. Null, empty, zero and non-finite vectors and those of another
     length than their ``dim`` are no part of it, only vectors of equal ``dim``
     are compared, and equal vectors are neighbours with cosine 1.
     """
@@ -218,7 +218,7 @@ def neighbour_graph(
     graph = materialize(nearest(edges.withColumn("r", F.lit(0)), k), "graph")
 
     def close(r: int) -> tuple[int, int]:
-        held = graph.select(F.explode("nb").alias("n")).where(F.col("n.d") <= near)
+        held = graph.select(F.explode("nb").alias("n")).where(F.col("n.d") <= core)
         n = held.agg(F.count("*").alias("all"), F.count_if(F.col("n.r") == r).alias("new")).first()
         return n["all"], n["new"]
 
@@ -255,11 +255,11 @@ def similar_vectors(vectors: DataFrame, *, k: int = 5, least: float = 0.90, list
     """(chunk_id_a, chunk_id_b), a < b: one is among the other's ``k`` most similar and the cosine is at least ``least``.
 
     Edges are scored whose codes differ in no more places than those of two
-    vectors of cosine ``least`` do but for a chance of about 1 in 500.
+    vectors of cosine ``least`` do but for a chance of about 1 in 160.
     """
     angle = float(np.arccos(least) / np.pi)
-    near = int(np.ceil(BITS * angle + 2.9 * np.sqrt(BITS * angle * (1 - angle))))
-    graph = neighbour_graph(vectors, **({"k": max(k, list_size), "near": near} | settings))
+    near = int(np.ceil(BITS * angle + 2.5 * np.sqrt(BITS * angle * (1 - angle))))
+    graph = neighbour_graph(vectors, **({"k": max(k, list_size), "near": near, "core": int(BITS * angle)} | settings))
     w = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
     top = graph.where(F.col("sim") >= F.lit(least - 1e-6)).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
     return top.select(F.least("a", "b").alias("chunk_id_a"), F.greatest("a", "b").alias("chunk_id_b")).distinct()
