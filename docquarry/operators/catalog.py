@@ -30,16 +30,22 @@ def document_catalog(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     return documents.select("doc_id", "source", "complete").join(n, "doc_id", "left").fillna(0, ["n_stored"])
 
 
-def snapshot_actions(stored: DataFrame, found: DataFrame) -> DataFrame:
+def chunker_signature(version: int, most: int, least: int, overlap: int) -> str:
+    """What chunks depend on besides the text; another signature makes a source be taken in again."""
+    return f"{version}:{most}:{least}:{overlap}"
+
+
+def snapshot_actions(stored: DataFrame, found: DataFrame, *, force: bool = False) -> DataFrame:
     """(source, action) of what intake has to do, from one row a source (source, sha256, chunker_sig; ``stored`` also complete).
 
     ``add`` a new source, ``remove`` one no longer found, ``update`` one with
     other content or chunker settings, ``resume`` an incomplete one that is
-    the same, ``skip`` a complete one.
+    the same, ``skip`` a complete one. With ``force`` all that is found and
+    stored is updated. Nothing is written: what comes out is the plan.
     """
     a = stored.select("source", F.col("sha256").alias("s0"), F.col("chunker_sig").alias("c0"), F.col("complete").alias("done"), F.lit(True).alias("had"))
     b = found.select("source", F.col("sha256").alias("s1"), F.col("chunker_sig").alias("c1"), F.lit(True).alias("has"))
-    same = F.col("s0").eqNullSafe(F.col("s1")) & F.col("c0").eqNullSafe(F.col("c1"))
+    same = F.lit(not force) & F.col("s0").eqNullSafe(F.col("s1")) & F.col("c0").eqNullSafe(F.col("c1"))
     act = F.when(F.col("had").isNull(), "add").when(F.col("has").isNull(), "remove").when(~same, "update").when(F.coalesce("done", F.lit(False)), "skip").otherwise("resume")
     return a.join(b, "source", "full_outer").select("source", act.alias("action"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docquarry.functions.text import lowered, match_terms, name_variants, names, tokens
+from docquarry.functions.text import lowered, match_terms, name_variants, names, tokens, word_tokens
 from docquarry.operators.passages import citation, embedding_text, heading_path
 
 K1, B, RRF_K = 1.2, 0.75, 60
@@ -112,6 +112,31 @@ def hash_vectors(texts: list[str], dim: int, known: dict[str, tuple[int, int]])
     return np.divide(out, size, out=out, where=size > 0)
 
 
+def prefix_terms(questions: DataFrame, chunks: DataFrame, *, q_text: str = "question") -> DataFrame:
+    """(term, token, n_chunks): every token of the chunks that an asked beginning of a word stands for, and in how many chunks it is.
+
+    Beginnings have four letters or more, so they meet the vocabulary on the
+    first four; the vocabulary is counted before it joins.
+    """
+    asked = questions.select(F.explode(match_terms(F.col(q_text))).alias("t")).where("t.prefix").select(F.get("t.words", F.lit(0)).alias("term")).distinct()
+    held = chunks.select(F.explode(F.array_distinct(word_tokens(F.col("text")))).alias("token")).groupBy("token").agg(F.count("*").alias("n_chunks"))
+    met = held.withColumn("four", F.substring("token", 1, 4)).join(asked.withColumn("four", F.substring("term", 1, 4)), "four")
+    return met.where(F.startswith("token", F.col("term"))).select("term", "token", "n_chunks")
+
+
+def phrase_matches(questions: DataFrame, chunks: DataFrame, *, q_text: str = "question") -> DataFrame:
+    """(phrase, pid, n): how often the words of an asked name stand side by side in a chunk's text.
+
+    Chunks are joined by the phrase's first word at its places, and the words
+    after it are compared where they stand.
+    """
+    asked = questions.select(F.explode(match_terms(F.col(q_text))).alias("t")).where(F.size("t.words") > 1).select("t.words").distinct()
+    placed = chunks.select(F.col("chunk_id").alias("pid"), word_tokens(F.col("text")).alias("tokens")).select("pid", "tokens", F.posexplode("tokens").alias("at", "token"))
+    met = placed.join(F.broadcast(asked.withColumn("token", F.get("words", F.lit(0)))), "token")  # names of the stated question set
+    beside = met.where(F.slice("tokens", F.col("at") + 1, F.size("words")) == F.col("words"))
+    return beside.groupBy(F.array_join("words", " ").alias("phrase"), "pid").agg(F.count("*").alias("n"))
+
+
 def hash_buckets(passages: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, bucket, value): the hashed vector of each text before it is scaled, 256 buckets, sparse.
 

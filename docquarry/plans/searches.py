@@ -42,6 +42,14 @@ def bm25_filtered(s: SparkSession, d: str) -> DataFrame:
     return search.keyword_topk(table(s, d, "eval_questions"), table(s, d, "chunks").join(documents, "document_id", "left"), sources=["wiring.md", "rk6800.pdf"], k=10)
 
 
+def bm25_prefix(s: SparkSession, d: str) -> DataFrame:
+    return search.prefix_terms(table(s, d, "eval_questions"), table(s, d, "chunks"))
+
+
+def phrase_match(s: SparkSession, d: str) -> DataFrame:
+    return search.phrase_matches(table(s, d, "eval_questions"), table(s, d, "chunks"))
+
+
 def rrf_fusion(s: SparkSession, d: str) -> DataFrame:
     """Keyword and vector ranks of each question in one, without boost; ties to the lower id."""
     asked, chunks = table(s, d, "eval_questions"), table(s, d, "chunks")
@@ -100,7 +108,7 @@ def eval_verdicts(s: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
-        hybrid_search, vector_only, identifier_boost, keyword_search, bm25_filtered, rrf_fusion, hash_embed, best_score, gate, vector_topk_filtered, labels,
+        hybrid_search, vector_only, identifier_boost, keyword_search, bm25_filtered, bm25_prefix, phrase_match, rrf_fusion, hash_embed, best_score, gate, vector_topk_filtered, labels,
         context_text, build_messages, extractive_answer, finalize_answers, eval_verdicts,
     )
     return {f.__name__: f for f in every}
@@ -182,6 +190,12 @@ def oracle_sql() -> dict[str, str]:
         "keyword_search": f"WITH {KEYWORDS} SELECT qid, pid, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS INT) AS rank FROM ks QUALIFY rank <= 30",
         "bm25_filtered": f"""WITH {KEYWORDS} SELECT qid, pid, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS INT) AS rank
             FROM ks JOIN kt USING (pid) JOIN documents ON doc_id = document_id WHERE source IN ('wiring.md', 'rk6800.pdf') QUALIFY rank <= 10""",
+        "bm25_prefix": f"""WITH {TERMS}, a AS (SELECT DISTINCT t.term AS term FROM terms WHERE t.prefix),
+            v AS (SELECT token, count(*) AS n_chunks FROM (SELECT DISTINCT chunk_id, unnest({TOKENS.format('text')}) AS token FROM chunks) GROUP BY 1)
+            SELECT term, token, n_chunks FROM a JOIN v ON left(token, 4) = left(term, 4) AND starts_with(token, term)""",
+        "phrase_match": f"""WITH {TERMS}, a AS (SELECT DISTINCT t.term AS phrase FROM terms WHERE contains(t.term, ' ')),
+            k AS (SELECT chunk_id AS pid, {TOKENS.format('text')} AS w FROM chunks), g AS (SELECT pid, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS two FROM k)
+            SELECT phrase, pid, count(*) AS n FROM a JOIN g ON two = phrase GROUP BY ALL""",
         "rrf_fusion": f"""WITH {rank_sql(True)}, rf AS (SELECT qid, pid, round(fused, 9) AS score FROM fu)
             SELECT qid, pid, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS INT) AS rank FROM rf QUALIFY rank <= 10""",
         "hash_embed": f"WITH h AS (SELECT doc_id, unnest({HASHED.format("coalesce(text, '')").replace("'i '", "'i'")}) AS h FROM documents) SELECT doc_id, CAST(('0x' || h[1:2]) AS INT) AS bucket, CAST(sum(CASE WHEN h[7] >= '8' THEN 1 ELSE -1 END) AS BIGINT) AS value FROM h GROUP BY ALL",

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docquarry.functions import lines, text
-from docquarry.operators import answers, chunking, evaluate, layout, passages, search
+from docquarry.operators import answers, catalog, chunking, evaluate, layout, passages, search
 from docquarry.sources import files
 from docquarry.streaming.intake import intake
 
@@ -259,3 +259,47 @@ def test_report_is_written(spark, tmp_path):
     files.write_report(evaluate.report_rows(df), str(tmp_path / "r"))
     got = spark.read.option("header", "true").option("escape", '"').csv(str(tmp_path / "r")).orderBy("result_id").collect()
     assert got[0].question == "a \\| b c" and len(got[0].answer) == 400 and [r.verdict for r in got] == ["right", "open"]
+
+
+def test_prefixes_and_phrases(spark):
+    chunks = spark.createDataFrame([(1, "Clocks of USART_SR and usart sr"), (2, "clocking sr usart"), (3, None)], "chunk_id long, text string")
+    asked = spark.createDataFrame([("Which clock has USART_SR?",), (None,)], "question string")
+    assert sorted(map(tuple, search.prefix_terms(asked, chunks).collect())) == [("clock", "clocking", 1), ("clock", "clocks", 1), ("usart", "usart", 2)]
+    assert [tuple(r) for r in search.phrase_matches(asked, chunks).collect()] == [("usart sr", 1, 2)]
+
+
+def test_force_updates_what_is_the_same(spark):
+    kind = "source string, sha256 string, chunker_sig string, complete boolean"
+    old = spark.createDataFrame([("a", "1", catalog.chunker_signature(2, 1200, 300, 200), True)], kind)
+    assert [tuple(r) for r in catalog.snapshot_actions(old, old).collect()] == [("a", "skip")]
+    assert [tuple(r) for r in catalog.snapshot_actions(old, old, force=True).collect()] == [("a", "update")]
+
+
+def test_catalogue_and_counts(spark):
+    docs = spark.createDataFrame([(1, "s", True, 5, "ab cd"), (2, None, False, None, None)], "doc_id long, source string, complete boolean, n_chars long, text string")
+    chunks = spark.createDataFrame([(1, 1, "a b!", 2, 3), (2, 1, None, None, None)], "chunk_id long, document_id long, text string, page_start int, page_end int")
+    assert sorted(map(tuple, catalog.document_catalog(docs, chunks).collect())) == [(1, "s", True, 2), (2, None, False, 0)]
+    assert sorted(map(tuple, passages.document_profile(docs, chunks).collect())) == [(1, 5, 2, 2, 2, 3), (2, 0, 0, 0, None, None)]
+    got = {r.source: (r.n_docs, r.n_complete, r.n_chunks, r.n_chars) for r in catalog.catalog_stats(docs, chunks).collect()}
+    assert got == {"s": (1, 1, 2, 5), None: (1, 0, 0, 0)}
+    files = spark.createDataFrame([(1, "s", "h", 1, 1), (2, "s", "h", 2, 1), (3, "s", "g", 1, 1)], "file_id long, source string, sha256 string, ingested_at int, reported_at int")
+    assert {r.file_id for r in catalog.latest_files(files).collect()} == {2, 3}
+
+
+def test_hash_vectors_and_buckets(spark):
+    df = spark.createDataFrame([(1, "Clock clock pin"), (2, None)], "doc_id long, text string")
+    got = {(r.bucket, r.value) for r in search.hash_buckets(df, "doc_id", "text").collect()}
+    v = search.hash_vectors(["Clock clock pin"], 256, {})[0]
+    assert {(int(i), round(float(v[i] * math.sqrt(5)))) for i in v.nonzero()[0]} == got
+    asked = spark.createDataFrame([("a", "pin clock"), ("b", "zzz")], "id string, question string")
+    rows = spark.createDataFrame([(7, "Clock clock pin"), (8, "pin"), (9, "")], "pid long, full string")
+    top = search.hash_topk(asked, rows, q_id="id", q_text="question", id_col="pid", text_col="full", k=2).collect()
+    assert [(r.pid, r.rank) for r in sorted(top, key=lambda r: (r.qid, r.rank))] == [(7, 1), (8, 2), (7, 1), (8, 2)]
+
+
+def test_judged_results_and_curve(spark):
+    asked = spark.createDataFrame([("a", True, [["x"]]), ("b", False, None)], "id string, answerable boolean, must_include array<array<string>>")
+    rows = [(1, "a", "it is X", True, True, 0.12), (2, "a", None, True, True, None), (3, "b", "it is", False, False, 0.02), (4, "z", "x", True, True, 0.5)]
+    results = spark.createDataFrame(rows, "result_id long, id string, answer string, llm_called boolean, answerable boolean, best_score double")
+    assert sorted(map(tuple, evaluate.judged(results, asked).collect())) == [(1, False, True, True), (2, False, False, False), (3, True, None, True)]
+    assert sorted(map(tuple, evaluate.threshold_curve(results).collect())) == [(0, 0, 1), (2, 1, 0), (10, 1, 0)]
