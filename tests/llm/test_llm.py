@@ -191,7 +191,7 @@ def test_sound_answers(answer):
 @pytest.mark.parametrize("answer,kind", [
     ("La velocità massima è limitata e non si può cambiare.", "language"), ("De klok is beperkt en kan niet worden gewijzigd.", "language"), ("クロックは制限されています。", "language"),
     ("The value is **0xAC", "truncated"), ("Set <b>it", "truncated"), ("1. Set it.\n2.", "truncated"), ("He said “wait", "truncated"),
-    ("What limits the clock? What limits the clock of the unit?", "copy"), ("Limits what unit the clock of", None),
+    ("What limits the clock? What limits the clock of the unit?", "copy"), ("Of the limits what clock unit", None),
 ])
 def test_other_defects(answer, kind):
     assert pairs.defect("What limits the clock of the unit?", answer) == kind
