@@ -207,9 +207,11 @@ def neighbour_graph(
     ``near`` places. Codes of two vectors at an angle of x degrees differ in
     ``BITS`` * x / 180 places on average. Null, empty, zero and non-finite vectors and those of another
     length than their ``dim`` are no part of it, only vectors of equal ``dim``
-    are compared, and equal vectors are neighbours with cosine 1.
+    are compared, and equal vectors are neighbours with cosine 1. Rows of one id
+    count as one, and of its vectors the one with the least code is compared.
     """
-    codes = materialize(coded(usable(vectors, id_col, vector_col, dim_col), seed), "codes")
+    codes = coded(usable(vectors, id_col, vector_col, dim_col), seed)
+    codes = materialize(codes.groupBy("id").agg(F.min(F.struct("dim", "code")).alias("c")).select("id", "c.dim", "c.code"), "codes")
     fresh = F.lit(BITS + 1)
     start = codes.withColumn("worst", fresh)
     edges = one_pass(start, 0, k, block)
@@ -243,10 +245,10 @@ def neighbour_graph(
     pairs = first.unionByName(through).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = materialize(pairs, "pairs")
     wanted = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")
-    likely, blocks = marked(vectors.withColumnRenamed(id_col, "id").select("id", vector_col, dim_col), wanted)
+    likely, blocks = marked(vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("e"), F.col(dim_col).alias("dim")), wanted)
     held = likely.where("maybe").drop("maybe").join(wanted, "id")
-    units = materialize(usable(held, "id", vector_col, dim_col), "units")
-    sims = materialize(scored(pairs, units).where("sim >= -1"), "sims")
+    units = materialize(usable(held, "id", "e", "dim"), "units")
+    sims = materialize(scored(pairs, units).where("sim >= -1").groupBy("a", "b").agg(F.max("sim").alias("sim")), "sims")
     discard(graph, pairs, wanted, blocks, units)
     return sims.unionByName(sims.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
 

@@ -3,6 +3,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docquarry.llm import furniture, leaks, lookalike, nearpairs, neighbours, pairs, split, tokenize
 from docquarry.llm.queries import VOCABULARY as NAME
@@ -207,3 +208,81 @@ def test_broken_pairs_over_a_table(spark):
     df = spark.createDataFrame(rows, "result_id long, question string, answer string, declined boolean")
     assert sorted(map(tuple, pairs.broken_pairs(df).collect())) == [(1, "empty"), (3, "copy"), (3, "copy")]
     assert pairs.broken_pairs(df.limit(0)).collect() == []
+
+
+CLASHING = "id key text_key sig first copies rep n maybe post codes a b d r v nb code worst dim_ line src piece need term pid rank form_key class_id block p part".split()
+
+
+def messy(spark, rows, kind):
+    """The rows twice, with columns of names that the operators use themselves."""
+    df = spark.createDataFrame([*rows, *rows], kind)
+    for c in CLASHING:
+        if c not in df.columns:
+            df = df.withColumn(c, F.lit(None).cast("string"))
+    return df
+
+
+LONG = "A long line of words without an end, number 1; " * 4000
+TEXTS = [(None, "no id"), (1, None), (2, ""), (3, " \n\t"), (4, LONG), (5, LONG + "x"), (6, "one two three four"), (7, "\ud7ff\u0000 odd \U0010ffff"), (8, "x" * 50000)]
+
+
+def test_texts_of_every_kind(spark):
+    chunks = messy(spark, [(i, i, t, "s", 1, None) for i, t in TEXTS], "chunk_id long, document_id long, text string, section string, page_start int, page_end int")
+    docs = messy(spark, [(i, t, "src", None) for i, t in TEXTS], "doc_id long, text string, source string, lang string")
+    pieces = split.split_passages(chunks).collect()
+    assert {r.chunk_id for r in pieces} == {4, 5, 8} and all(len(r.text) <= 1200 for r in pieces)
+    assert {tuple(r) for r in nearpairs.near_pairs(chunks).collect()} == {(4, 5)}
+    assert {tuple(r) for r in nearpairs.exact_copies(chunks.where("chunk_id = 6")).collect()} == {(6, 6)}
+    assert furniture.repeated_lines(chunks, docs).collect() == []
+    assert {r.doc_id for r in lookalike.one_form(docs).collect()} == {1, 2, 3, 4, 5, 6, 7, 8} - {1}
+    assert lookalike.same_looking(docs).collect() == []
+    items = messy(spark, [(9, LONG), (None, LONG), (10, None), (11, "short")], "item_id long, text string")
+    assert {tuple(r) for r in leaks.find_leaks(docs, items).collect()} >= {(4, 9), (5, 9)}
+    asked = messy(spark, [(i, "What is it?", t) for i, t in TEXTS], "result_id long, question string, answer string")
+    assert {r.result_id for r in pairs.broken_pairs(asked).collect() if r.defect == "empty"} == {1, 2, 3}
+    if os.path.exists(VOCABULARY):
+        assert {r.doc_id: len(r.ids) > 0 for r in tokenize.encode_corpus(docs, VOCABULARY).where("doc_id is not null").collect()} == {i: bool(t) for i, t in TEXTS if i}
+
+
+def test_empty_tables(spark):
+    chunks = spark.createDataFrame([], "chunk_id long, document_id long, text string, section string, page_start int, page_end int, embedding array<float>, dim int")
+    docs = spark.createDataFrame([], "doc_id long, text string, source string")
+    items = spark.createDataFrame([], "item_id long, text string")
+    for found in (
+        split.split_passages(chunks), nearpairs.near_pairs(chunks), nearpairs.exact_copies(chunks), furniture.repeated_lines(chunks, docs), neighbours.similar_vectors(chunks),
+        lookalike.one_form(docs), lookalike.same_looking(docs), lookalike.text_classes(docs), leaks.find_leaks(docs, items),
+    ):
+        assert found.collect() == []
+
+
+def test_vectors_of_every_kind(spark):
+    same = [1.0, 2.0, 3.0, 4.0]
+    rows = [(i, same, 4) for i in range(40)] + [(100, same, None), (101, None, 4), (None, same, 4), (102, [], 0), (103, [float("inf"), 1.0, 1.0, 1.0], 4), (104, [1e30, 2e30, 3e30, 4e30], 4), (105, [-1.0, 0.0, 0.0, 0.0], 4)]
+    df = messy(spark, rows, "chunk_id long, embedding array<float>, dim int")
+    got = [tuple(r) for r in neighbours.similar_vectors(df).collect()]
+    ids = {i for p in got for i in p}
+    assert len(set(got)) == len(got) and all(a < b for a, b in got) and ids == {*range(40), 104}
+
+
+def test_a_crowd_of_copies_keeps_its_links(spark):
+    base = " ".join(f"w{i}" for i in range(40))
+    rows = [(i, base) for i in range(200)] + [(900, base.replace("w20", "x"))]
+    got = [tuple(r) for r in nearpairs.near_pairs(spark.createDataFrame(rows, "chunk_id long, text string")).collect()]
+    assert sorted(got) == [(0, i) for i in range(1, 200)] + [(0, 900)]
+
+
+@pytest.mark.parametrize("lines,cut", [("same", True), ("short", True), ("two\nlines of furniture that stand together", True)])
+def test_lines_with_and_without_pieces(spark, lines, cut):
+    rng = np.random.default_rng(3)
+    body = [" ".join("".join(chr(97 + x) for x in w) for w in rng.integers(0, 26, (20, 6))) for _ in range(40)]
+    docs = spark.createDataFrame([(i, "s") for i in range(40)], "doc_id long, source string")
+    chunks = spark.createDataFrame([(i, i, f"{body[i]}\n{lines if i < 8 else 'other ' + str(body[i])}\nend {body[-i]}") for i in range(40)], "chunk_id long, document_id long, text string")
+    n = lines.count("\n") + 1
+    assert {tuple(r) for r in furniture.repeated_lines(chunks, docs).collect()} == {(i, 2 + k) for i in range(8) for k in range(n)}
+
+
+def test_pieces_do_not_depend_on_where_they_stand():
+    line = "the quick brown fox jumps over the lazy dog while nobody looks at the river and its banks " * 3
+    one, two = furniture.cut_texts([line]), furniture.cut_texts(["", "something before\n" + line + "\nand after", "x"])
+    inside = lambda f: set(f["hash"][f["line"] >= 0].tolist())
+    assert len(inside(two)) >= 3 and inside(two) <= set(one["hash"].tolist()) | inside(two) and len(set(one["hash"].tolist()) & inside(two)) >= len(inside(two)) - 1
