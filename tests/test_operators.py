@@ -303,3 +303,11 @@ def test_judged_results_and_curve(spark):
     results = spark.createDataFrame(rows, "result_id long, id string, answer string, llm_called boolean, answerable boolean, best_score double")
     assert sorted(map(tuple, evaluate.judged(results, asked).collect())) == [(1, False, True, True), (2, False, False, False), (3, True, None, True)]
     assert sorted(map(tuple, evaluate.threshold_curve(results).collect())) == [(0, 0, 1), (2, 1, 0), (10, 1, 0)]
+
+
+def test_printed_headings_and_front_matter(spark):
+    docs = spark.createDataFrame([(1, "2 The clock\ntree of it\nbody\n3  END\nmore")], "doc_id long, text string")
+    outline = spark.createDataFrame([(1, "2 the clock tree of it"), (1, "3 End"), (2, "body"), (1, None)], "doc_id long, title string")
+    assert sorted(r.line_no for r in layout.printed_headings(chunking.document_lines(docs), outline).collect()) == [1, 2, 4]
+    units = chunking.units(chunking.document_lines(spark.createDataFrame([(1, "before\n# Contents\na\n## sub\nb\n# 2 Start\nc\n# Index of pins\nd")], "doc_id long, text string")))
+    assert [r.text for r in layout.without_front_matter(units).orderBy("line_no").collect()] == ["before", "2 Start", "c"]
