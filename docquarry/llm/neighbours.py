@@ -195,21 +195,22 @@ def scored(pairs: DataFrame, units: DataFrame) -> DataFrame:
     return pairs.join(ua, "a").join(ub, "b").select("a", "b", "va", "vb").mapInArrow(dot, "a bigint, b bigint, sim float")
 
 
-def neighbour_graph(
-    vectors: DataFrame, *, id_col: str = "chunk_id", vector_col: str = "embedding", dim_col: str = "dim",
-    k: int = 8, passes: int = 2, block: int = 256, share: float = 0.5, near: int = BITS, core: int = BITS, settled: float = 0.02, rounds: int | None = None, seed: int = 7,
-) -> DataFrame:
-    """Edges (a, b, sim) of an approximate ``k``-nearest-neighbour graph, both ways, with their exact cosine.
+def exact(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(a, b, sim): pairs of ids of (id, e, dim) with their cosine; only the vectors they need are moved."""
+    wanted = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")
+    likely, blocks = marked(vectors, wanted)
+    held = likely.where("maybe").drop("maybe").join(wanted, "id")
+    units = materialize(usable(held, "id", "e", "dim"), "units")
+    sims = materialize(scored(pairs, units).where("sim >= -1").groupBy("a", "b").agg(F.max("sim").alias("sim")), "sims")
+    discard(wanted, blocks, units)
+    return sims
 
-    Rounds go on until one adds less than the share ``settled`` of all edges
-    whose codes differ in at most ``core`` places (a number of ``rounds`` may be
-    given instead, for measuring); edges come out whose codes differ in at most
-    ``near`` places. Codes of two vectors at an angle of x degrees differ in
-    ``BITS`` * x / 180 places on average. Null, empty, zero and non-finite vectors and those of another
-    length than their ``dim`` are no part of it, only vectors of equal ``dim``
-    are compared, and equal vectors are neighbours with cosine 1. Rows of one id
-    count as one, and of its vectors the one with the least code is compared.
-    """
+
+def descend(
+    vectors: DataFrame, *, id_col: str = "chunk_id", vector_col: str = "embedding", dim_col: str = "dim",
+    k: int = 8, passes: int = 2, block: int = 256, share: float = 0.5, core: int = BITS, settled: float = 0.02, rounds: int | None = None, seed: int = 7,
+) -> tuple[DataFrame, DataFrame]:
+    """(id, dim, code) of all vectors that can be compared, and (a, nb) with the ``k`` nearest codes found of each; see ``neighbour_graph``."""
     codes = coded(usable(vectors, id_col, vector_col, dim_col), seed)
     codes = materialize(codes.groupBy("id").agg(F.min(F.struct("dim", "code")).alias("c")).select("id", "c.dim", "c.code"), "codes")
     fresh = F.lit(BITS + 1)
@@ -237,6 +238,22 @@ def neighbour_graph(
         every, new = close(r)
         if rounds is None and new <= settled * every:
             break
+    return codes, graph
+
+
+def neighbour_graph(vectors: DataFrame, *, id_col: str = "chunk_id", vector_col: str = "embedding", dim_col: str = "dim", near: int = BITS, **settings) -> DataFrame:
+    """Edges (a, b, sim) of an approximate ``k``-nearest-neighbour graph, both ways, with their exact cosine.
+
+    Rounds go on until one adds less than the share ``settled`` of all edges
+    whose codes differ in at most ``core`` places (a number of ``rounds`` may be
+    given instead, for measuring); edges come out whose codes differ in at most
+    ``near`` places. Codes of two vectors at an angle of x degrees differ in
+    ``BITS`` * x / 180 places on average. Null, empty, zero and non-finite vectors and those of another
+    length than their ``dim`` are no part of it, only vectors of equal ``dim``
+    are compared, and equal vectors are neighbours with cosine 1. Rows of one id
+    count as one, and of its vectors the one with the least code is compared.
+    """
+    codes, graph = descend(vectors, id_col=id_col, vector_col=vector_col, dim_col=dim_col, **settings)
     discard(codes)
     # a last join of near neighbours of near neighbours, scored exactly; at most k * k pairs a vector
     lists = graph.select("a", F.filter("nb", lambda n: n["d"] <= near)["b"].alias("nb")).where(F.size("nb") > 0)
@@ -244,15 +261,77 @@ def neighbour_graph(
     through = second.select("a", F.explode("nb").alias("b"))
     pairs = first.unionByName(through).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = materialize(pairs, "pairs")
-    wanted = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")
-    likely, blocks = marked(vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("e"), F.col(dim_col).alias("dim")), wanted)
-    held = likely.where("maybe").drop("maybe").join(wanted, "id")
-    units = materialize(usable(held, "id", "e", "dim"), "units")
-    sims = materialize(scored(pairs, units).where("sim >= -1").groupBy("a", "b").agg(F.max("sim").alias("sim")), "sims")
-    discard(graph, pairs, wanted, blocks, units)
+    sims = exact(pairs, vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("e"), F.col(dim_col).alias("dim")))
+    discard(graph, pairs)
     return sims.unionByName(sims.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
 
 
+def as_words(codes: DataFrame, name: str) -> DataFrame:
+    """(name, dim, w): codes as arrays of 64-bit integers, which Spark compares by itself."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = words64(batch.column(2)).view(np.int64).ravel()
+            ends = np.arange(0, len(flat) + 1, BITS // 64, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], [name, "dim", "w"])
+
+    return codes.select("id", "dim", "code").mapInArrow(split, f"{name} bigint, dim int, w array<bigint>")
+
+
+def graph_search(
+    queries: DataFrame, vectors: DataFrame, *, id_col: str = "chunk_id", vector_col: str = "embedding", dim_col: str = "dim",
+    k: int = 5, least: float = -1.0, beam: int = 48, width: int = 8, entries: int = 64, settled: float = 0.01, **settings,
+) -> DataFrame:
+    """(qid, pid, sim, rank): of each query vector the ``k`` most similar found by greedy search in the neighbour graph, never its own id.
+
+    All queries search at once. Each holds the ``beam`` nearest codes met so
+    far, at first the best of ``entries`` vectors of its dim; a step looks at
+    the graph neighbours, either way, of the ``width`` nearest that it has not
+    looked at yet, until a step betters less than the share ``settled`` of all
+    ``k`` nearest. The best 2 ``k`` are scored by their exact cosine, and those
+    of at least ``least`` come out. Queries that cannot be compared have no rows.
+    """
+    codes, graph = descend(vectors, id_col=id_col, vector_col=vector_col, dim_col=dim_col, **settings)
+    out = graph.select("a", F.explode("nb").alias("n")).select("a", "n.b", "n.d")
+    back = Window.partitionBy("b").orderBy("d", "a")
+    both = out.select("a", "b").unionByName(out.withColumn("place", F.row_number().over(back)).where("place <= 8").select(F.col("b").alias("a"), F.col("a").alias("b")))
+    links = materialize(both.distinct().groupBy("a").agg(F.collect_list("b").alias("nb")), "links")  # at most k + 8 a vector
+    nodes = materialize(as_words(codes, "node"), "nodes")
+    asked = usable(queries, id_col, vector_col, dim_col).groupBy("id").agg(F.min(F.struct("dim", "v")).alias("u")).select("id", "u.dim", "u.v")
+    asked = materialize(as_words(coded(asked, settings.get("seed", 7)), "q").withColumnRenamed("w", "qw"), "asked")
+    distance = F.aggregate(F.zip_with("w", "qw", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
+    hashed = Window.partitionBy("dim").orderBy(F.xxhash64("node"), "node")
+    first = nodes.withColumn("place", F.row_number().over(hashed)).where(F.col("place") <= entries).drop("place")
+    best = Window.partitionBy("q").orderBy("d", "node")
+
+    def nearest_of(rows: DataFrame, most: int) -> DataFrame:
+        return rows.withColumn("place", F.row_number().over(best)).where(F.col("place") <= most)
+
+    met = asked.join(first, "dim").where("node <> q").select("q", "node", distance.alias("d"))
+    held = materialize(nearest_of(met, beam).select("q", "node", "d", F.lit(False).alias("seen"), F.lit(0).alias("step")), "held")
+    n, step = asked.count(), 0
+    while n:
+        step += 1
+        look = materialize(nearest_of(held.where("not seen"), width).select("q", "node"), "look")
+        beside = look.join(links, F.col("node") == F.col("a")).select("q", F.explode("nb").alias("node")).where("node <> q").distinct()
+        fresh = beside.join(held.select("q", "node"), ["q", "node"], "left_anti").join(nodes.drop("dim"), "node").join(asked.drop("dim"), "q")
+        seen = held.join(look.withColumn("now", F.lit(True)), ["q", "node"], "left").select("q", "node", "d", (F.col("seen") | F.col("now").isNotNull()).alias("seen"), "step")
+        every = seen.unionByName(fresh.select("q", "node", distance.alias("d"), F.lit(False).alias("seen"), F.lit(step).alias("step")))
+        newer = materialize(nearest_of(every, beam).select("q", "node", "d", "seen", "step"), "held")
+        discard(held, look)
+        held = newer
+        better = nearest_of(held, k).where(F.col("step") == step).count()
+        left = held.where("not seen").limit(1).count()
+        if not left or step > 2 and better <= settled * k * n:
+            break
+    pairs = materialize(nearest_of(held, 2 * k).select(F.col("q").alias("a"), F.col("node").alias("b")), "pairs")
+    every = [x.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("e"), F.col(dim_col).alias("dim")) for x in (vectors, queries)]
+    sims = exact(pairs, every[0].unionByName(every[1].join(every[0].select("id"), "id", "left_anti")))
+    discard(codes, graph, links, nodes, asked, held, pairs)
+    w = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
+    return sims.where(F.col("sim") >= least - 1e-6).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("a").alias("qid"), F.col("b").alias("pid"), F.round("sim", 4).alias("sim"), "rank")
+
+
 def similar_vectors(vectors: DataFrame, *, k: int = 5, least: float = 0.90, list_size: int = 8, **settings) -> DataFrame:
     """(chunk_id_a, chunk_id_b), a < b: one is among the other's ``k`` most similar and the cosine is at least ``least``.
 

@@ -37,6 +37,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.similar_vectors(read(spark, d, "chunks"))
 
 
+def p3_search(spark: SparkSession, d: str) -> DataFrame:
+    """Every 50th passage's vector as a query against all rows."""
+    chunks = read(spark, d, "chunks")
+    return neighbours.graph_search(chunks.where("chunk_id % 50 = 0"), chunks, least=0.90)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return nearpairs.near_pairs(read(spark, d, "chunks"))
 
@@ -76,7 +82,7 @@ def p8_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (p1_found, p2_found, p2_pieces, p3_found, p4_found, p4_copies, p5_found, p5_cleaned, p6_ids, p7_found, p8_found, p8_forms, p8_classes)
+    every = (p1_found, p2_found, p2_pieces, p3_found, p3_search, p4_found, p4_copies, p5_found, p5_cleaned, p6_ids, p7_found, p8_found, p8_forms, p8_classes)
     return {f.__name__: f for f in every}
 
 

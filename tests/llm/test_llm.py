@@ -286,3 +286,16 @@ def test_pieces_do_not_depend_on_where_they_stand():
     one, two = furniture.cut_texts([line]), furniture.cut_texts(["", "something before\n" + line + "\nand after", "x"])
     inside = lambda f: set(f["hash"][f["line"] >= 0].tolist())
     assert len(inside(two)) >= 3 and inside(two) <= set(one["hash"].tolist()) | inside(two) and len(set(one["hash"].tolist()) & inside(two)) >= len(inside(two)) - 1
+
+
+def test_graph_search_finds_planted_neighbours(spark):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(1500, 32))
+    asked = v[:30] + 0.02 * rng.normal(size=(30, 32))
+    kind = "chunk_id long, embedding array<float>, dim int"
+    held = spark.createDataFrame([(i, [float(x) for x in row], 32) for i, row in enumerate(v)], kind)
+    new = spark.createDataFrame([(5000 + i, [float(x) for x in row], 32) for i, row in enumerate(asked)] + [(6000, None, 32), (6001, [1.0], 1)], kind)
+    got = {(r.qid, r.pid) for r in neighbours.graph_search(new, held, k=1, least=0.9).collect()}
+    want = {(5000 + i, i) for i in range(30)}
+    assert got <= want and len(got) >= 27
+    assert neighbours.graph_search(new.limit(0), held).collect() == []
