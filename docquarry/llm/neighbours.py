@@ -280,12 +280,12 @@ def as_words(codes: DataFrame, name: str) -> DataFrame:
 
 def graph_search(
     queries: DataFrame, vectors: DataFrame, *, id_col: str = "chunk_id", vector_col: str = "embedding", dim_col: str = "dim",
-    k: int = 5, least: float = -1.0, beam: int = 48, width: int = 8, entries: int = 64, settled: float = 0.01, **settings,
+    k: int = 5, least: float = -1.0, beam: int = 48, width: int = 8, starts: int = 3, settled: float = 0.01, **settings,
 ) -> DataFrame:
     """(qid, pid, sim, rank): of each query vector the ``k`` most similar found by greedy search in the neighbour graph, never its own id.
 
     All queries search at once. Each holds the ``beam`` nearest codes met so
-    far, at first the best of ``entries`` vectors of its dim; a step looks at
+    far, at first those near it in ``starts`` orders of all codes; a step looks at
     the graph neighbours, either way, of the ``width`` nearest that it has not
     looked at yet, until a step betters less than the share ``settled`` of all
     ``k`` nearest. The best 2 ``k`` are scored by their exact cosine, and those
@@ -298,16 +298,21 @@ def graph_search(
     links = materialize(both.distinct().groupBy("a").agg(F.collect_list("b").alias("nb")), "links")  # at most k + 8 a vector
     nodes = materialize(as_words(codes, "node"), "nodes")
     asked = usable(queries, id_col, vector_col, dim_col).groupBy("id").agg(F.min(F.struct("dim", "v")).alias("u")).select("id", "u.dim", "u.v")
-    asked = materialize(as_words(coded(asked, settings.get("seed", 7)), "q").withColumnRenamed("w", "qw"), "asked")
+    own = materialize(coded(asked, settings.get("seed", 7)), "own")
+    asked = materialize(as_words(own, "q").withColumnRenamed("w", "qw"), "asked")
     distance = F.aggregate(F.zip_with("w", "qw", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
-    hashed = Window.partitionBy("dim").orderBy(F.xxhash64("node"), "node")
-    first = nodes.withColumn("place", F.row_number().over(hashed)).where(F.col("place") <= entries).drop("place")
     best = Window.partitionBy("q").orderBy("d", "node")
 
     def nearest_of(rows: DataFrame, most: int) -> DataFrame:
         return rows.withColumn("place", F.row_number().over(best)).where(F.col("place") <= most)
 
-    met = asked.join(first, "dim").where("node <> q").select("q", "node", distance.alias("d"))
+    # queries stand among all codes; only they keep what is near them
+    among = codes.withColumn("worst", F.lit(0)).unionByName(own.withColumn("worst", F.lit(BITS + 1)))
+    found = one_pass(among, 0, beam, settings.get("block", 256))
+    for p in range(1, starts):
+        found = found.unionByName(one_pass(among, p, beam, settings.get("block", 256)))
+    near_by = found.select(F.col("a").alias("q"), F.col("b").alias("node"), F.col("d").cast("int").alias("d")).where("node <> q").distinct()
+    met = near_by.join(nodes.select("node"), "node", "left_semi").select("q", "node", "d")
     held = materialize(nearest_of(met, beam).select("q", "node", "d", F.lit(False).alias("seen"), F.lit(0).alias("step")), "held")
     n, step = asked.count(), 0
     while n:
@@ -327,7 +332,7 @@ def graph_search(
     pairs = materialize(nearest_of(held, 2 * k).select(F.col("q").alias("a"), F.col("node").alias("b")), "pairs")
     every = [x.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("e"), F.col(dim_col).alias("dim")) for x in (vectors, queries)]
     sims = exact(pairs, every[0].unionByName(every[1].join(every[0].select("id"), "id", "left_anti")))
-    discard(codes, graph, links, nodes, asked, held, pairs)
+    discard(codes, graph, links, nodes, own, asked, held, pairs)
     w = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
     return sims.where(F.col("sim") >= least - 1e-6).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("a").alias("qid"), F.col("b").alias("pid"), F.round("sim", 4).alias("sim"), "rank")
 
